@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name: module of this subpackage.
 MODULES = {
+    "op2_quality": "quality",
     "op3_packing": "packing",
     "op4_bpe": "bpe",
     "op5_rules": "rules",
+    "op6_pii": "pii",
+    "op7_html": "html",
+    "op10_licenses": "licenses",
 }
 
 
