@@ -32,7 +32,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def input_bytes(df: DataFrame) -> int:
     """The size of df as the optimizer estimates it (for files: their bytes)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def buckets_for(df: DataFrame, bytes_each: int, least: int = 32, most: int = 1 << 20) -> int:

@@ -15,6 +15,7 @@ MODULES = {
     "op5_rules": "rules",
     "op6_pii": "pii",
     "op7_html": "html",
+    "op8_jaccard": "jaccard",
     "op10_licenses": "licenses",
 }
 
