@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name: module of this subpackage.
 MODULES = {
+    "op1_substrings": "substrings",
     "op2_quality": "quality",
     "op3_packing": "packing",
     "op4_bpe": "bpe",
