@@ -17,6 +17,7 @@ MODULES = {
     "op6_pii": "pii",
     "op7_html": "html",
     "op8_jaccard": "jaccard",
+    "op9_vectors": "vectors",
     "op10_licenses": "licenses",
 }
 
