@@ -27,8 +27,10 @@ LENGTH = 100
 ANCHOR = 32
 #: A perfect difference cover: each difference modulo 31 is that of two of its numbers.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
+#: Bytes of text in whose segments a task looks at a time; its arrays take some hundred times that.
+PIECE = 1 << 20
 #: Bytes of segments sorted at a time.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 #: Anchors with so many different segments are dealt anew, each start by the hash of its passage.
 HOT = 2000
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -228,7 +230,7 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, id_co
     shares = common.buckets_for(docs, 4 << 20)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.pieces(batches, "text", 8 << 20):
+        for b in common.pieces(batches, "text", PIECE):
             seg, number, _, _ = _own_segments(b, length, k)
             if not len(seg.doc):
                 continue
@@ -248,7 +250,7 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, id_co
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Segments to be sorted, by anchor; and starts of hot anchors, by passage."""
-        for b in common.pieces(batches, "text", 4 << 20):
+        for b in common.pieces(batches, "text", PIECE):
             seg, number, begins, off = _own_segments(b, length, k)
             ids, versions, raw = b.column(0).to_numpy(), b.column(1).to_numpy(), seg.data.tobytes()
             out: list[list] = [[] for _ in range(7)]
@@ -352,13 +354,16 @@ def dedup(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, id_col: str =
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.struct([("begin", pa.int32()), ("end", pa.int32())])
-        for b in common.pieces(batches, "text", 4 << 20):
-            seg, _, begins, off = _own_segments(b, length, k)
-            raw = seg.data.tobytes()
+        for b in common.pieces(batches, "text", PIECE):
             flags, starts = b.column(3).to_pylist(), b.column(4).to_pylist()
+            some = [i for i in range(b.num_rows) if flags[i] or starts[i]]
+            seg, _, begins, own_off = _own_segments(b.take(pa.array(some, pa.int64())), length, k)
+            runs_of = {i: _covered(j, seg, begins, own_off, flags[i], starts[i], length) for j, i in enumerate(some)}
+            data, off = common.text_bytes(b.column(2))
+            raw = data.tobytes()
             kept, spans = [], []
             for i in range(b.num_rows):
-                runs = _covered(i, seg, begins, off, flags[i], starts[i], length) if flags[i] or starts[i] else []
+                runs = runs_of.get(i, [])
                 text, last, parts = raw[off[i] : off[i + 1]], 0, []
                 for a, z in runs:
                     parts.append(text[last:a])
