@@ -111,7 +111,8 @@ def clean(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", host_co
 
     The verdict is found again by id and text, so rows that repeat an id with another text are judged each for itself.
     """
-    kept = judge(df, id_col, text_col, host_col, **limits).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.when(F.col("n_common_words") > 0, F.col("common")).alias("__common")).dropDuplicates(["__id", "__hash"])
+    # written first: a filter pushed below the measures would have each of their steps evaluated over and over
+    kept = common.cut(judge(df, id_col, text_col, host_col, **limits)).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.when(F.col("n_common_words") > 0, F.col("common")).alias("__common")).dropDuplicates(["__id", "__hash"])
     own = df.withColumn("__id", F.col(id_col).cast("long")).withColumn("__hash", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
     joined = own.alias("d").join(kept.alias("k"), F.col("d.__id").eqNullSafe(F.col("k.__id")) & (F.col("d.__hash") == F.col("k.__hash")))
     text = F.col(f"d.{text_col}")
