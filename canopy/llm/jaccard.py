@@ -19,7 +19,7 @@ LEAF = 8
 #: Bytes of shingle sets that one task compares at most; larger clusters are compared block by block.
 BLOCK_BYTES = 24 << 20
 #: Shingles in so many sampled documents go last in the order of prefixes; at most MOST_COMMON do.
-COMMON_IN_SAMPLE, MOST_COMMON, SAMPLE = 4, 100_000, 64
+COMMON_IN_SAMPLE, MOST_COMMON, SAMPLE = 4, 100_000, 16
 
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _SPACE = np.zeros(256, bool)
@@ -201,6 +201,53 @@ def _documents(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataF
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_hash long")
 
 
+def _shared_counts(own: DataFrame, words: int, shares: int) -> DataFrame:
+    """(set_hash, shared): how many shingles of a set some other set has as well.
+
+    Shingles go to their share as 32 bits of their hash, so a count can be too high by a collision, never too low.
+    """
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.pieces(batches, "text", 4 << 20):
+            sets = {set_hash(s): s for s in _sets_of(b, words) if len(s)}
+            if not sets:
+                continue
+            ids = np.array(list(sets), np.int64)
+            token = np.concatenate(list(sets.values()))
+            who = np.repeat(np.arange(len(ids)), [len(s) for s in sets.values()])
+            share = (token % np.uint64(shares)).astype(np.int64)
+            order = np.argsort(share, kind="stable")
+            mark, who, share = (token[order] >> np.uint64(32)).astype(np.uint32), who[order], share[order]
+            found, first = np.unique(share, return_index=True)
+            cuts = np.append(first, len(share))
+            blobs = []
+            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+                rows, n = np.unique(who[a:z], return_counts=True)
+                blobs.append(np.array([len(rows), z - a], np.int64).tobytes() + ids[rows].tobytes() + n.astype(np.uint32).tobytes() + mark[a:z].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(blobs, pa.binary())], names=["share", "blob"])
+
+    def count(group: pa.Table) -> pa.Table:
+        marks, sets = [], []
+        for chunk in group.column("blob").chunks:
+            for x in chunk:
+                raw = x.as_buffer()
+                n, m = np.frombuffer(raw, np.int64, 2)
+                sets.append(np.repeat(np.frombuffer(raw, np.int64, n, 16), np.frombuffer(raw, np.uint32, n, 16 + 8 * n)))
+                marks.append(np.frombuffer(raw, np.uint32, m, 16 + 12 * n))
+        mark, set_ = np.concatenate(marks), np.concatenate(sets)
+        ids, which = np.unique(set_, return_inverse=True)
+        key = np.unique(mark.astype(np.uint64) << np.uint64(32) | which.astype(np.uint64))
+        mark = (key >> np.uint64(32)).astype(np.uint32)
+        same = mark[1:] == mark[:-1]
+        shared = np.append(False, same) | np.append(same, False)
+        n = np.bincount((key & np.uint64(0xFFFFFFFF)).astype(np.int64)[shared], minlength=len(ids))
+        some = np.flatnonzero(n)
+        return pa.table([pa.array(ids[some]), pa.array(n[some].astype(np.int64))], names=["set_hash", "shared"])
+
+    met = own.mapInArrow(emit, "share long, blob binary").groupBy("share").applyInArrow(count, "set_hash long, shared long")
+    return met.groupBy("set_hash").agg(F.sum("shared").alias("shared"))
+
+
 def _common_shingles(own: DataFrame, words: int) -> np.ndarray:
     """Shingles that are frequent in a sample; they only go last in the order, so the sample decides nothing about results."""
 
@@ -208,7 +255,7 @@ def _common_shingles(own: DataFrame, words: int) -> np.ndarray:
         for b in common.pieces(batches, "text", 2 << 20):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([s.astype(np.int64) for s in _sets_of(b, words)] or [np.zeros(0, np.int64)]))], names=["s"])
 
-    sampled = own.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).dropDuplicates(["text"])
+    sampled = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
     rows = sampled.mapInArrow(run, "s long").groupBy("s").count().where(F.col("count") >= COMMON_IN_SAMPLE).orderBy(F.desc("count"), "s").limit(MOST_COMMON).collect()
     return np.sort(np.array([r.s for r in rows], np.int64).astype(np.uint64))
 
@@ -279,29 +326,26 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: st
     null id is no one's component id unless nothing else is there; repeated rows and equal sets
     are one component; other columns are not looked at.
 
-    Equal sets count once. Sets that share a prefix shingle form clusters (connected components of
-    the sharing), so a set goes to one task only; there, signature trees find the links. A cluster
-    too large for a task is compared block by block, each pair of blocks in a task of its own.
+    Equal sets count once. A set of which fewer shingles than `percent` of them stand in other sets
+    links with none. Of the others, those that share a prefix shingle form clusters (connected
+    components of the sharing), so a set goes to one task only; there, signature trees find the
+    links. A cluster too large for a task is compared block by block, each pair of blocks in a task
+    of its own. Texts that only rows without id have are not compared.
     """
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     facts = common.cut(_documents(own, words, "doc_id", "text"))
-    last = _common_shingles(own, words)
-    edges = _prefix_edges(own, words, percent, last, common.buckets_for(docs, 8 << 20))
+    shared = _shared_counts(own, words, common.buckets_for(docs, 16 << 20))
+    kinds = facts.where("n_shingles > 0").groupBy("set_hash").agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("doc_id"))
+    alive = kinds.join(shared, "set_hash").where((100 * F.col("shared") >= percent * F.col("n")) & F.col("doc_id").isNotNull()).select("doc_id", F.col("set_hash").alias("want"), "n")
+    texts = common.cut(own.join(alive, "doc_id"))
+    edges = _prefix_edges(texts.select("doc_id", "text"), words, percent, _common_shingles(texts.select("doc_id", "text"), words), common.buckets_for(docs, 32 << 20))
     clusters = common.components(spark, edges)
-    sized = facts.where("n_shingles > 0").groupBy("set_hash").agg(F.first("n_shingles").alias("n")).join(clusters, F.col("set_hash") == F.col("id")).select("set_hash", F.col("root").alias("cluster"), "n")
+    sized = texts.select(F.col("want").alias("id"), "n").dropDuplicates(["id"]).join(clusters, "id").select("id", F.col("root").alias("cluster"), "n")
     weight = sized.groupBy("cluster").agg((F.sum("n") * 8).alias("bytes"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("bytes") / (BLOCK_BYTES / 2))).cast("int")
-    placed = sized.join(weight, "cluster").select("set_hash", "cluster", F.when(F.col("bytes") <= BLOCK_BYTES, 1).otherwise(blocks).alias("blocks"))
-    placed = common.cut(placed)
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.pieces(batches, "text", 2 << 20):
-            own_sets = _sets_of(b, words)
-            yield pa.RecordBatch.from_arrays([pa.array([set_hash(s) for s in own_sets], pa.int64()), pa.array([s.tobytes() for s in own_sets], pa.binary())], names=["set_hash", "tokens"])
-
-    one = facts.where("n_shingles > 0 and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("doc_id")).join(placed, "set_hash").select("doc_id", F.col("set_hash").alias("want"), "cluster", "blocks")
-    texts = own.join(one, "doc_id").select("doc_id", "text", "want", "cluster", "blocks")
+    placed = sized.join(weight, "cluster").select(F.col("id").alias("want"), "cluster", F.when(F.col("bytes") <= BLOCK_BYTES, 1).otherwise(blocks).alias("blocks"))
+    texts = texts.join(placed, "want").select("doc_id", "text", "want", "cluster", "blocks")
 
     def located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.pieces(batches, "text", 2 << 20):

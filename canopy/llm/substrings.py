@@ -202,7 +202,7 @@ def _meet(group: pa.Table) -> pa.Table:
     order = tell[np.lexsort((number[tell], version[tell], doc[tell]))]
     doc, version, number, flag = doc[order], version[order], number[order], flag[order]
     cuts = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (version[1:] != version[:-1])) if len(doc) else np.zeros(0, bool))
-    ends = np.append(cuts[1:], len(doc))
+    ends = np.append(cuts[1:], len(doc))[: len(cuts)]
     blobs = [_blob(number[a:z], flag[a:z]) for a, z in zip(cuts, ends, strict=True)]
     return pa.table([pa.array(doc[cuts]), pa.array(version[cuts]), pa.array(blobs, pa.binary())], names=["doc_id", "version", "flags"])
 
