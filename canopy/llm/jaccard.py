@@ -15,12 +15,9 @@ WORDS = 5
 #: Similarity in percent; compared in whole numbers.
 PERCENT = 75
 BITS = 2048
-LEAF = 8
+LEAF = 64
 #: Bytes of shingle sets that one task compares at most; larger clusters are compared block by block.
 BLOCK_BYTES = 24 << 20
-#: Shingles in so many sampled documents go last in the order of prefixes; at most MOST_COMMON do.
-COMMON_IN_SAMPLE, MOST_COMMON, SAMPLE = 4, 100_000, 16
-
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -106,7 +103,9 @@ class SignatureTree:
         n = len(sets)
         size = np.array([len(s) for s in sets])
         least = np.array([s[0] if len(s) else 0 for s in sets], np.uint64)
-        self.order = np.lexsort((size, least))
+        # sizes that may link stand near each other, and of those sets with the same least token
+        grade = np.floor(np.log(np.maximum(size, 1)) / np.log(4 / 3))
+        self.order = np.lexsort((size, least, grade))
         bits = np.zeros((n, BITS // 64), np.uint64)
         for row, i in enumerate(self.order):
             at = (mix(sets[i]) % np.uint64(BITS)).astype(np.int64)
@@ -202,9 +201,11 @@ def _documents(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataF
 
 
 def _shared_counts(own: DataFrame, words: int, shares: int) -> DataFrame:
-    """(set_hash, shared): how many shingles of a set some other set has as well.
+    """(set_hash, shared, classes): how many shingles of a set some other set has as well, and how frequent each is.
 
-    Shingles go to their share as 32 bits of their hash, so a count can be too high by a collision, never too low.
+    Shingles go to their share as 32 bits of their hash, so a count can be too high by a collision,
+    never too low. classes holds, for each share, a byte for each of the set's shingles there in
+    the order of their hashes: the logarithm of the number of sets that have it.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,75 +228,72 @@ def _shared_counts(own: DataFrame, words: int, shares: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(blobs, pa.binary())], names=["share", "blob"])
 
     def count(group: pa.Table) -> pa.Table:
-        marks, sets = [], []
+        share = group.column("share")[0].as_py()
+        sets: dict[int, np.ndarray] = {}
         for chunk in group.column("blob").chunks:
             for x in chunk:
                 raw = x.as_buffer()
                 n, m = np.frombuffer(raw, np.int64, 2)
-                sets.append(np.repeat(np.frombuffer(raw, np.int64, n, 16), np.frombuffer(raw, np.uint32, n, 16 + 8 * n)))
-                marks.append(np.frombuffer(raw, np.uint32, m, 16 + 12 * n))
-        mark, set_ = np.concatenate(marks), np.concatenate(sets)
-        ids, which = np.unique(set_, return_inverse=True)
-        key = np.unique(mark.astype(np.uint64) << np.uint64(32) | which.astype(np.uint64))
-        mark = (key >> np.uint64(32)).astype(np.uint32)
-        same = mark[1:] == mark[:-1]
-        shared = np.append(False, same) | np.append(same, False)
-        n = np.bincount((key & np.uint64(0xFFFFFFFF)).astype(np.int64)[shared], minlength=len(ids))
-        some = np.flatnonzero(n)
-        return pa.table([pa.array(ids[some]), pa.array(n[some].astype(np.int64))], names=["set_hash", "shared"])
-
-    met = own.mapInArrow(emit, "share long, blob binary").groupBy("share").applyInArrow(count, "set_hash long, shared long")
-    return met.groupBy("set_hash").agg(F.sum("shared").alias("shared"))
-
-
-def _common_shingles(own: DataFrame, words: int) -> np.ndarray:
-    """Shingles that are frequent in a sample; they only go last in the order, so the sample decides nothing about results."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.pieces(batches, "text", 2 << 20):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([s.astype(np.int64) for s in _sets_of(b, words)] or [np.zeros(0, np.int64)]))], names=["s"])
-
-    sampled = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
-    rows = sampled.mapInArrow(run, "s long").groupBy("s").count().where(F.col("count") >= COMMON_IN_SAMPLE).orderBy(F.desc("count"), "s").limit(MOST_COMMON).collect()
-    return np.sort(np.array([r.s for r in rows], np.int64).astype(np.uint64))
-
-
-def _prefix_edges(own: DataFrame, words: int, percent: int, last: np.ndarray, shares: int) -> DataFrame:
+                size = np.frombuffer(raw, np.uint32, n, 16 + 8 * n)
+                marks = np.frombuffer(raw, np.uint32, m, 16 + 12 * n)
+                sets.update(zip(np.frombuffer(raw, np.int64, n, 16).tolist(), np.split(marks, np.cumsum(size)[:-1]), strict=True))
+        mark = np.concatenate(list(sets.values()))
+        size = np.array([len(x) for x in sets.values()])
+        order = np.argsort(mark, kind="stable")
+        new = np.flatnonzero(np.append(True, mark[order][1:] != mark[order][:-1]))
+        times = np.diff(np.append(new, len(mark)))
+        n = np.empty(len(mark), np.int64)
+        n[order] = np.repeat(times, times)
+        grades = np.minimum(np.rint(4 * np.log2(n)), 255).astype(np.uint8).tobytes()
+        at = np.concatenate([[0], np.cumsum(size)])
+        shared = np.add.reduceat((n > 1).astype(np.int64), at[:-1])
+        return pa.table([pa.array(list(sets), pa.int64()), pa.array(np.full(len(size), share), pa.int32()), pa.array(shared), pa.array([grades[a:z] for a, z in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["set_hash", "share", "shared", "grades"])
+
+    met = own.mapInArrow(emit, "share long, blob binary").groupBy("share").applyInArrow(count, "set_hash long, share int, shared long, grades binary")
+    return met.groupBy("set_hash").agg(F.sum("shared").alias("shared"), F.collect_list(F.struct("share", "grades")).alias("classes"))
+
+
+def by_frequency(s: np.ndarray, classes: list, shares: int) -> np.ndarray:
+    """The shingles of a set, the rarest first; of equally rare ones by hash. The same order holds for all sets."""
+    share = (s % np.uint64(shares)).astype(np.int64)
+    grade = np.zeros(len(s), np.uint8)
+    for c in classes:
+        grade[share == c["share"]] = np.frombuffer(c["grades"], np.uint8)
+    return s[np.lexsort((s, grade))]
+
+
+def _prefix_edges(texts: DataFrame, words: int, percent: int, frequency_shares: int, shares: int) -> DataFrame:
     """Edges (a, b) between sets that share a shingle of their prefixes, from the least set of each shingle.
 
     Sets that link share a shingle among the first n - ceil(n * percent / 100) + 1 of both, in any
-    order of shingles that holds for all; here frequent ones come last and the others by hash.
+    order of shingles that holds for all; here the rarest come first. Only sets whose sizes may
+    link, or that sets of sizes between them connect, get an edge.
     """
-    spark = own.sparkSession
-    late = spark.sparkContext.broadcast(last)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.pieces(batches, "text", 8 << 20):
-            sets, tokens, who = _sets_of(b, words), [], []
+            tokens, who, size = [], [], []
             seen: set[int] = set()
-            for s in sets:
-                if not len(s) or (k := set_hash(s)) in seen:
+            for s, want, classes in zip(_sets_of(b, words), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if set_hash(s) != want or want in seen:
                     continue
-                seen.add(k)
+                seen.add(want)
                 n = len(s) - -(-percent * len(s) // 100) + 1
-                if len(late.value):
-                    at = np.minimum(np.searchsorted(late.value, s), len(late.value) - 1)
-                    is_late = late.value[at] == s
-                    s = np.concatenate([s[~is_late], s[is_late]])
-                tokens.append(s[:n])
-                who.append(np.full(n, k, np.int64))
+                tokens.append(by_frequency(s, classes, frequency_shares)[:n])
+                who.append(np.full(n, len(size)))
+                size.append((want, len(s)))
             if not tokens:
                 continue
-            token, set_ = np.concatenate(tokens), np.concatenate(who)
+            token, who, ids = np.concatenate(tokens), np.concatenate(who), np.array(size, np.int64)
             share = (token % np.uint64(shares)).astype(np.int64)
-            order = np.lexsort((token, share))
-            token, set_, share = token[order], set_[order], share[order]
+            order = np.argsort(share, kind="stable")
+            token, who, share = token[order], who[order], share[order]
             found, first = np.unique(share, return_index=True)
             cuts = np.append(first, len(share))
             blobs = []
             for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-                ids, which = np.unique(set_[a:z], return_inverse=True)
-                blobs.append(np.array([len(ids), z - a], np.int64).tobytes() + ids.tobytes() + token[a:z].tobytes() + which.astype(np.uint16 if len(ids) < 65536 else np.uint32).tobytes())
+                rows, which = np.unique(who[a:z], return_inverse=True)
+                blobs.append(np.array([len(rows), z - a], np.int64).tobytes() + ids[rows].tobytes() + token[a:z].tobytes() + which.astype(np.uint32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(blobs, pa.binary())], names=["share", "blob"])
 
     def meet(group: pa.Table) -> pa.Table:
@@ -304,18 +302,20 @@ def _prefix_edges(own: DataFrame, words: int, percent: int, last: np.ndarray, sh
             for x in chunk:
                 raw = x.as_buffer()
                 n, m = np.frombuffer(raw, np.int64, 2)
-                ids = np.frombuffer(raw, np.int64, n, 16)
-                tokens.append(np.frombuffer(raw, np.uint64, m, 16 + 8 * n))
-                sets.append(ids[np.frombuffer(raw, np.uint16 if n < 65536 else np.uint32, m, 16 + 8 * n + 8 * m)])
+                ids = np.frombuffer(raw, np.int64, 2 * n, 16).reshape(-1, 2)
+                tokens.append(np.frombuffer(raw, np.uint64, m, 16 + 16 * n))
+                sets.append(ids[np.frombuffer(raw, np.uint32, m, 16 + 16 * n + 8 * m)])
         token, set_ = np.concatenate(tokens), np.concatenate(sets)
-        order = np.lexsort((set_, token))
-        token, set_ = token[order], set_[order]
-        new = np.append(True, token[1:] != token[:-1])
-        least = np.repeat(set_[new], np.diff(np.append(np.flatnonzero(new), len(token))))
+        order = np.lexsort((set_[:, 1], token))
+        token, (set_, size) = token[order], set_[order].T
+        # runs of a shingle in which each size may link with the next
+        new = np.append(True, (token[1:] != token[:-1]) | (100 * size[:-1] < percent * size[1:]))
+        first = np.flatnonzero(new)
+        least = np.repeat(np.minimum.reduceat(set_, first), np.diff(np.append(first, len(token))))
         pairs = np.unique(np.stack([least, set_], 1)[least != set_], axis=0)
         return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    return own.mapInArrow(emit, "share long, blob binary").groupBy("share").applyInArrow(meet, "a long, b long")
+    return texts.select("doc_id", "text", "want", "classes").mapInArrow(emit, "share long, blob binary").groupBy("share").applyInArrow(meet, "a long, b long")
 
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -335,11 +335,12 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: st
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     facts = common.cut(_documents(own, words, "doc_id", "text"))
-    shared = _shared_counts(own, words, common.buckets_for(docs, 16 << 20))
+    shares = common.buckets_for(docs, 24 << 20, least=16)
+    shared = _shared_counts(own, words, shares)
     kinds = facts.where("n_shingles > 0").groupBy("set_hash").agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("doc_id"))
-    alive = kinds.join(shared, "set_hash").where((100 * F.col("shared") >= percent * F.col("n")) & F.col("doc_id").isNotNull()).select("doc_id", F.col("set_hash").alias("want"), "n")
+    alive = kinds.join(shared, "set_hash").where((100 * F.col("shared") >= percent * F.col("n")) & F.col("doc_id").isNotNull()).select("doc_id", F.col("set_hash").alias("want"), "n", "classes")
     texts = common.cut(own.join(alive, "doc_id"))
-    edges = _prefix_edges(texts.select("doc_id", "text"), words, percent, _common_shingles(texts.select("doc_id", "text"), words), common.buckets_for(docs, 32 << 20))
+    edges = _prefix_edges(texts, words, percent, shares, common.buckets_for(docs, 32 << 20))
     clusters = common.components(spark, edges)
     sized = texts.select(F.col("want").alias("id"), "n").dropDuplicates(["id"]).join(clusters, "id").select("id", F.col("root").alias("cluster"), "n")
     weight = sized.groupBy("cluster").agg((F.sum("n") * 8).alias("bytes"))
