@@ -215,7 +215,7 @@ def scan_files(spark: SparkSession, paths: list[str] | str, language: str, expli
     if not explicit:
         reader = reader.option("pathGlobFilter", "*{" + ",".join(SUFFIXES[language]) + "}")
     files = reader.load(paths)
-    return files.select(F.col("path").alias("doc_id"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    return files.select(F.col("path").alias("doc_id"), F.decode("content", "UTF-8").alias("text"))
 
 
 def source_tree(spark: SparkSession, paths: list[str] | str, language: str, explicit: bool = False) -> DataFrame:
