@@ -382,3 +382,19 @@ def dedup(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, id_col: str =
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup(common.table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, unnest(list_transform(range(0, octet_length(b) - {LENGTH - 1}), lambda s: {{'s': s, 'g': md5(b[s + 1:s + {LENGTH}])}})) AS x FROM d WHERE octet_length(b) >= {LENGTH}),
+g AS (SELECT doc_id, x.s AS s, row_number() OVER (PARTITION BY x.g ORDER BY doc_id, x.s) AS k FROM w),
+p AS (SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS before FROM g WHERE k > 1),
+q AS (SELECT doc_id, s, sum(CASE WHEN before IS NULL OR s > before + {LENGTH} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM p),
+r AS (SELECT doc_id, run, min(s) AS a, max(s) + {LENGTH} AS z FROM q GROUP BY doc_id, run),
+f AS (SELECT *, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM r),
+k AS (SELECT f.doc_id, sum(z - a) AS n_removed, count(*) AS n_spans, max(z) AS last, string_agg(hex(b[before + 1:a]), '' ORDER BY a) AS head
+      FROM f JOIN d USING (doc_id) GROUP BY f.doc_id)
+SELECT d.doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(head, '') || hex(b[coalesce(last, 0) + 1:]))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""

@@ -163,3 +163,16 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, projections: int
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "embeddings"))
+
+
+SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v
+      WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= {COSINE}),
+r AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y),
+c AS (SELECT x, count(*) AS n FROM l GROUP BY x),
+m AS (SELECT x, min(y) AS y FROM r GROUP BY x)
+SELECT vec_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(m.y, vec_id)) AS component_id, coalesce(m.y, vec_id) >= vec_id AS kept
+FROM v LEFT JOIN c ON c.x = vec_id LEFT JOIN m ON m.x = vec_id
+"""
