@@ -25,6 +25,11 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software", "released into the public domain"),
     ("cc0", "the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law", "dedicated the work to the public domain"),
     ("cc-by", "this work is licensed under the creative commons attribution 4 0 international license", "creative commons attribution"),
+    ("mit", "released under the mit license", "under the mit license"),
+    ("apache", "licensed under the apache license version 2 0", "under the apache license"),
+    ("gpl", "this work is licensed under the gnu general public license version 3", "gnu general public license"),
+    ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
+    ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
     ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "in no event will the authors be held liable"),
 ]
 
@@ -110,3 +115,30 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(common.table(spark, sf_dir, "documents"))
+
+
+_POSTINGS = ", ".join(f"({t}, '{label}', {at}, '{w}')" for t, (label, text, _) in enumerate(TEMPLATES) for at, w in enumerate(text.split()))
+_KEYS = ", ".join(f"({t}, ' {phrase} ')" for t, (_, _, phrase) in enumerate(TEMPLATES))
+SQL = rf"""
+WITH tv(t, label, pos, word) AS (VALUES {_POSTINGS}),
+keys(t, phrase) AS (VALUES {_KEYS}),
+d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+o AS (SELECT k, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM d),
+b AS (SELECT k, i, word AS a1, lead(word) OVER win AS a2, lead(word, 2) OVER win AS a3 FROM o WINDOW win AS (PARTITION BY k ORDER BY i)),
+hits AS (SELECT k, i, CASE WHEN a1 = 'mit' THEN 'mit' WHEN a1 = 'apache' THEN 'apache' ELSE 'gpl' END AS label FROM b
+         WHERE a1 IN ('mit', 'apache') AND a2 = 'license' OR a1 = 'general' AND a2 = 'public' AND a3 = 'license'),
+base AS (SELECT k, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word FROM hits GROUP BY k),
+df AS (SELECT v.word, count(DISTINCT o.k) AS n FROM (SELECT DISTINCT word FROM tv) v LEFT JOIN o ON o.word = v.word GROUP BY v.word),
+rare AS (SELECT * FROM df WHERE n <= 1 OR ln(((SELECT count(*) FROM d) + 1) / (n + 1)) >= {LEAST_IDF}),
+ranked AS (SELECT k, word, row_number() OVER (PARTITION BY k ORDER BY n, word) AS r FROM (SELECT DISTINCT o.k, rare.word, rare.n FROM o JOIN rare ON o.word = rare.word)),
+top AS (SELECT k, word, count(*) OVER (PARTITION BY k) AS size FROM ranked WHERE r <= {LOOK_UP}),
+ok AS (SELECT d.k, keys.t FROM d JOIN (SELECT DISTINCT k FROM top WHERE size >= {ALIGNED}) c ON c.k = d.k JOIN keys ON contains(' ' || array_to_string(w, ' ') || ' ', phrase)),
+votes AS (SELECT o.k, tv.t, tv.label, o.i - tv.pos AS start, count(*) AS n, min(top.size) AS size FROM top JOIN o ON o.k = top.k AND o.word = top.word JOIN tv ON tv.word = o.word
+          JOIN ok ON ok.k = o.k AND ok.t = tv.t GROUP BY ALL HAVING count(*) >= {ALIGNED}),
+found AS (SELECT k, max(least(1.0, n / size)) AS share FROM votes GROUP BY k),
+names AS (SELECT k, label, TRUE AS is_base FROM hits UNION ALL SELECT k, label, FALSE FROM votes),
+lists AS (SELECT k, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (is_base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM names GROUP BY k)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(greatest(coalesce(share, 0.0), CASE WHEN n_base > 0 THEN 0.5 ELSE 0.0 END) AS DOUBLE) AS score
+FROM d LEFT JOIN base USING (k) LEFT JOIN found USING (k) LEFT JOIN lists USING (k)
+"""
