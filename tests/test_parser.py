@@ -77,7 +77,7 @@ def test_predicates(text, want):
     ("text", "want"),
     [
         ("#language 'c'\nselect @a", '(language "c") (query_body (select a))'),
-        ("#import 'x.tql'", '(import "x.tql")'),
+        ("#import 'x.query'", '(import "x.query")'),
         ("-- note\nselect @a -- end", "(query_body (select a))"),
         ("with @root > a as @x?, @x as @y select @y", "(query_body (with (binding (child root (node a)) x optional) (binding x y)) (select y))"),
         ("query q { select @a }", "(query q (parameters) (query_body (select a)))"),
