@@ -164,10 +164,6 @@ def repeated(bucket: np.ndarray, texts: list[bytes], anchor: np.ndarray, n_start
     return out
 
 
-def _rows(own: DataFrame) -> DataFrame:
-    return own.select("doc_id", F.xxhash64("text").alias("version"), "text")
-
-
 def _blob(*arrays: np.ndarray) -> bytes:
     return b"".join([np.array([len(a) for a in arrays], np.int64).tobytes(), *(a.tobytes() for a in arrays)])
 
@@ -222,11 +218,13 @@ def _own_segments(b: pa.RecordBatch, length: int, k: int) -> tuple[Anchors, np.n
     return seg, np.arange(len(seg.doc)) - begins[seg.doc] if len(seg.doc) else seg.doc, begins, off
 
 
-def removed_ranges(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents with the blobs that say which of their passages start earlier elsewhere: doc_id, version, text, flags, starts."""
-    own = _rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")))
+def removed_ranges(docs: DataFrame, length: int, k: int, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Documents with the blobs that say which of their passages start earlier elsewhere: doc_id, version, text, flags, starts, and the columns to carry as one."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    extra = [F.struct(*[F.col(c) for c in carry]).alias("extra")] if carry else []
     # no id sorts before all ids
-    keyed = own.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text"), *extra)
+    extra = ["extra"] * bool(carry)
     shares = common.buckets_for(docs, 4 << 20)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,9 +242,10 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, id_co
                 blobs.append(_blob(ids[rows], versions[rows], which.astype(np.uint32), seg.key[own_rows], seg.segment[own_rows], number[own_rows].astype(np.uint32)))
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(blobs, pa.binary())], names=["share", "blob"])
 
-    told = keyed.mapInArrow(emit, "share long, blob binary").groupBy("share").applyInArrow(_meet, "doc_id long, version long, flags binary")
+    told = keyed.select("doc_id", "version", "text").mapInArrow(emit, "share long, blob binary").groupBy("share").applyInArrow(_meet, "doc_id long, version long, flags binary")
     flags = told.groupBy("doc_id", "version").agg(F.collect_list("flags").alias("flags"))
-    marked = keyed.join(flags, ["doc_id", "version"], "left").select("doc_id", "version", "text", "flags")
+    # what is carried goes through both uses of this join, so that its shuffle serves both
+    marked = keyed.join(flags, ["doc_id", "version"], "left").select("doc_id", "version", "text", "flags", *extra)
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Segments to be sorted, by anchor; and starts of hot anchors, by passage."""
@@ -323,7 +322,7 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, id_co
     dealt = marked.where("flags is not null").mapInArrow(segments, "bucket long, doc_id long, version long, lo int, n int, anchor int, bytes binary")
     dealt = dealt.repartition("bucket").sortWithinPartitions("bucket", "doc_id", "version", "lo")
     starts = dealt.mapInArrow(sort, "doc_id long, version long, starts binary").groupBy("doc_id", "version").agg(F.collect_list("starts").alias("starts"))
-    return marked.join(starts, ["doc_id", "version"], "left")
+    return marked.join(starts, ["doc_id", "version"], "left").select("doc_id", "version", "text", "flags", "starts", *extra)
 
 
 def _covered(i: int, seg: Anchors, begins: np.ndarray, off: np.ndarray, flags, starts, length: int) -> list[tuple[int, int]]:
@@ -342,15 +341,17 @@ def _covered(i: int, seg: Anchors, begins: np.ndarray, off: np.ndarray, flags, s
     return list(zip(lo[new].tolist(), hi[np.append(new[1:], len(lo)) - 1].tolist(), strict=True))
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove each byte covered by a `length`-byte string that also starts earlier (smaller id, or earlier in the document).
 
     Returns doc_id, version (a hash of the text), n_bytes, n_removed, n_spans, kept binary and
     removed array<struct<begin, end>>, a row for each row of docs. Null texts count as empty; a null
     id comes before all others; of rows that repeat an id, other texts come by their hash, and rows
-    that repeat id and text are one document and get the same result. Other columns are ignored.
+    that repeat id and text are one document and get the same result. Columns named in `carry` come
+    out again as the struct `extra`, so no join is needed to find them; others are ignored.
     """
-    marked = removed_ranges(docs, length, k, id_col, text_col)
+    marked = removed_ranges(docs, length, k, id_col, text_col, carry)
+    kind = marked.schema["extra"].dataType.simpleString() if carry else ""
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.struct([("begin", pa.int32()), ("end", pa.int32())])
@@ -374,9 +375,11 @@ def dedup(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, id_col: str =
             left = np.array([len(x) for x in kept])
             none = -(1 << 63)
             ids = pa.array([None if x == none else x for x in b.column(0).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, b.column(1), pa.array(n), pa.array(n - left), pa.array([len(s) for s in spans], pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, pa.list_(span))], names=["doc_id", "version", "n_bytes", "n_removed", "n_spans", "kept", "removed"])
+            cols = [ids, b.column(1), pa.array(n), pa.array(n - left), pa.array([len(s) for s in spans], pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, pa.list_(span)), *b.columns[5:]]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "version", "n_bytes", "n_removed", "n_spans", "kept", "removed", "extra"][: len(cols)])
 
-    return marked.mapInArrow(finish, "doc_id long, version long, n_bytes long, n_removed long, n_spans long, kept binary, removed array<struct<begin:int,end:int>>")
+    schema = "doc_id long, version long, n_bytes long, n_removed long, n_spans long, kept binary, removed array<struct<begin:int,end:int>>"
+    return marked.mapInArrow(finish, schema + f", extra {kind}" * bool(carry))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,20 +26,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that start earlier go from the texts, with what is left of a character cut in two; documents of which nothing is left go."""
-    done = substrings.dedup(docs).where("n_removed < n_bytes or n_bytes = 0").dropDuplicates(["doc_id", "version"])
-    done = done.select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), "n_removed", "kept")
-    cut = done.mapInArrow(_decoded, "__id long, __version long, __text string")
-    own = docs.withColumn("__version", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    others = [F.col(f"d.{c}") for c in docs.columns if c != "text"]
-    joined = own.drop("text").alias("d").join(cut.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.__id")) & (F.col("d.__version") == F.col("c.__version")))
-    return _counted(joined.select(*others, F.col("c.__text").alias("text")).select(*docs.columns))
+    others = [c for c in docs.columns if c != "text"]
+    done = substrings.dedup(docs, carry=tuple(others)).where("n_removed < n_bytes or n_bytes = 0")
+    kind = done.schema["extra"].dataType.simpleString()
+    cut = done.select("kept", "extra").mapInArrow(_decoded, f"text string, extra {kind}")
+    return _counted(cut.select("text", *[F.col(f"extra.{c}").alias(c) for c in others]).select(*docs.columns))
 
 
 def _decoded(batches):
     import pyarrow as pa
 
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.decode("utf-8", "ignore") for x in b.column(3).to_pylist()], pa.string())], names=["__id", "__version", "__text"])
+        yield pa.RecordBatch.from_arrays([pa.array([x.decode("utf-8", "ignore") for x in b.column(0).to_pylist()], pa.string()), b.column(1)], names=["text", "extra"])
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
