@@ -35,7 +35,7 @@ TEMPLATES = [
 
 #: A licence word is rare if its IDF over all documents is so high at least.
 LEAST_IDF = 1.5
-#: So many of a file's rarest licence words are looked up.
+#: So many of a file's rarest licence words are looked up for the score; all rare ones vote for labels.
 LOOK_UP = 8
 #: So many template words have to stand at their relative places.
 ALIGNED = 4
@@ -67,12 +67,24 @@ def phrase_starts(words: str, phrase: tuple[str, ...]) -> Column:
     return F.transform(F.filter(F.transform(words, lambda w, i: F.when(hit(w, i), i - last).otherwise(F.lit(-1))), lambda i: i >= 0), lambda i: i.cast("long"))
 
 
+def with_alignments(own: DataFrame, picked: str, runs: str, words: Column, postings: Column, aligned: int) -> DataFrame:
+    """Add runs, array<struct<n, t>>: where so many words of column `picked` as `aligned` stand at their places in a verified template t."""
+    at = f"{runs}_votes"
+    own = own.withColumn(at, F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.cast("long").alias("i"))), lambda x: F.array_contains(picked, x["w"])))
+    of_verified = lambda x: F.filter(F.get(postings, F.array_position(words, x["w"]).cast("int") - 1), lambda p: F.array_contains("verified", p["t"]))
+    own = own.withColumn(at, F.sort_array(F.flatten(F.transform(at, lambda x: F.transform(of_verified(x), lambda p: F.shiftleft(p["t"], 40) + (x["i"] - p["at"] + (1 << 39)))))))
+    # votes are sorted: where there are n equal ones, n - aligned + 1 of them have an equal one aligned - 1 further on
+    own = own.withColumn(at, F.filter(at, lambda v, i: F.coalesce(F.get(at, i + (aligned - 1)) == v, F.lit(False))))
+    longest = max(len(text.split()) for _, text, _ in TEMPLATES)
+    return own.withColumn(runs, F.transform(at, lambda v, i: F.struct((F.size(F.filter(F.sequence(F.lit(0), F.lit(longest)), lambda r: F.coalesce(F.get(at, i + r) == v, F.lit(False)))) + (aligned - 1)).alias("n"), F.shiftright(v, 40).cast("int").alias("t"))))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_idf: float = LEAST_IDF, look_up: int = LOOK_UP, aligned: int = ALIGNED) -> DataFrame:
     """Licences of every document, a row for each row of docs.
 
     Returns doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score. The score is
-    the share of looked-up words that stand where the best template has them; a base phrase alone
-    gives 0.5; nothing gives 0. Null and empty texts have no words and no labels, a null id is kept,
+    the share of looked-up words that stand where the best template has them, or of all rare words
+    if no template has enough of those looked up; a base phrase alone gives 0.5; nothing gives 0. Null and empty texts have no words and no labels, a null id is kept,
     ties between templates give all their labels, other columns are not looked at.
     """
     rare = [w for w, _ in rare_words(docs, text_col, least_idf)]
@@ -86,19 +98,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_
         own = own.withColumn(f"at_{label}", F.when(F.col("has"), phrase_starts("words", phrase)).otherwise(none))
     own = own.withColumn("base", F.array_sort(F.concat(*[F.col(f"at_{x}") for x in BASE.values()])))
     own = own.withColumn("base_list", F.filter(F.array(*[F.when(F.size(f"at_{x}") > 0, F.lit(x)) for x in sorted(BASE.values())]), lambda x: x.isNotNull()))
+    joined = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
+    own = own.withColumn("joined", joined).withColumn("verified", F.filter(F.array(*[F.when(F.col("joined").contains(f" {p} "), F.lit(t).cast("long")) for t, (_, _, p) in enumerate(TEMPLATES)]), lambda t: t.isNotNull()))
     if rare:
-        own = own.withColumn("top", F.slice(F.array_intersect(words, F.col("words")), 1, look_up))
-        enough = F.size("top") >= aligned
-        own = own.withColumn("joined", F.when(enough, F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))))
-        own = own.withColumn("verified", F.when(enough & F.col("joined").isNotNull(), F.filter(F.array(*[F.when(F.col("joined").contains(f" {p} "), F.lit(t).cast("long")) for t, (_, _, p) in enumerate(TEMPLATES)]), lambda t: t.isNotNull())))
-        own = own.withColumn("places", F.when(enough & (F.size("verified") > 0), F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.cast("long").alias("i"))), lambda x: F.array_contains("top", x["w"]))))
-        votes = F.transform("places", lambda x: F.transform(F.get(postings, F.array_position(words, x["w"]).cast("int") - 1), lambda p: F.shiftleft(p["t"], 40) + (x["i"] - p["at"] + (1 << 39))))
-        own = own.withColumn("votes", F.sort_array(F.flatten(votes)))
-        own = own.withColumn("runs", F.transform("votes", lambda v, i: F.struct(F.size(F.filter(F.sequence(F.lit(0), F.lit(4 * look_up)), lambda r: F.coalesce(F.get("votes", i + r) == v, F.lit(False)))).alias("n"), F.shiftright(v, 40).alias("t"))))
-        own = own.withColumn("good", F.filter("runs", lambda r: (r["n"] >= aligned) & F.array_contains("verified", r["t"])))
+        own = own.withColumn("held", F.when(F.size("verified") > 0, F.array_intersect(words, F.col("words"))))
+        own = own.withColumn("top", F.slice("held", 1, look_up)).withColumn("top", F.when(F.size("top") >= aligned, F.col("top")))
+        for picked, runs in (("held", "good"), ("top", "scored")):
+            own = with_alignments(own, picked, runs, words, postings, aligned)
         names = F.array(*[F.lit(x) for x, _, _ in TEMPLATES])
-        own = own.withColumn("found", F.coalesce(F.array_distinct(F.transform("good", lambda r: F.get(names, r["t"].cast("int")))), F.array().cast("array<string>")))
-        own = own.withColumn("share", F.when(F.size("good") > 0, F.least(F.lit(1.0), F.array_max(F.transform("good", lambda r: r["n"])) / F.size("top"))).otherwise(F.lit(0.0)))
+        own = own.withColumn("found", F.coalesce(F.array_distinct(F.transform("good", lambda r: F.get(names, r["t"]))), F.array().cast("array<string>")))
+        most = lambda runs: F.array_max(F.transform(runs, lambda r: r["n"]))
+        own = own.withColumn("share", F.when(F.size("scored") > 0, F.least(F.lit(1.0), most("scored") / F.size("top"))).when(F.size("good") > 0, F.least(F.lit(1.0), most("good") / F.size("held"))).otherwise(F.lit(0.0)))
     else:
         own = own.withColumn("found", F.array().cast("array<string>")).withColumn("share", F.lit(0.0))
     return own.select(

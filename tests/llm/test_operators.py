@@ -322,6 +322,17 @@ def test_licenses(spark):
     assert got[2].n_words == 0 and got[2].score == 0
 
 
+def test_licenses_of_two_notices(spark):
+    notice = {label: text for label, text, _ in reversed(licenses.TEMPLATES)}
+    pairs = [(a, b) for a in ("bsd", "agpl", "isc", "mpl", "zlib", "cc0") for b in ("mit", "zlib", "mpl", "unlicense") if a != b]
+    texts = {k: f"{notice[a]}. Some words between. {notice[b]}." for k, (a, b) in enumerate(pairs)}
+    texts |= {k: f"plain prose number {k} that is to be used in any way" for k in range(100, 400)}
+    got = rows_of(licenses.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")))
+    for k, pair in enumerate(pairs):
+        assert set(pair) <= set(got[k].labels.split(",")) and got[k].score > 0, pair
+    assert {got[k].labels for k in range(100, 400)} == {""}
+
+
 def test_quality_learns(spark):
     rng = random.Random(9)
     good = lambda: sentence(rng, 120).replace(",", ", ")
