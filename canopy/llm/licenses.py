@@ -33,7 +33,7 @@ TEMPLATES = [
     ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "in no event will the authors be held liable"),
 ]
 
-#: A licence word is rare if its IDF over all documents is so high at least.
+#: A licence word is rare if its IDF over all documents is so high at least; others count around the key phrase only.
 LEAST_IDF = 1.5
 #: So many of a file's rarest licence words are looked up for the score; all rare ones vote for labels.
 LOOK_UP = 8
@@ -79,12 +79,23 @@ def with_alignments(own: DataFrame, picked: str, runs: str, words: Column, posti
     return own.withColumn(runs, F.transform(at, lambda v, i: F.struct((F.size(F.filter(F.sequence(F.lit(0), F.lit(longest)), lambda r: F.coalesce(F.get(at, i + r) == v, F.lit(False)))) + (aligned - 1)).alias("n"), F.shiftright(v, 40).cast("int").alias("t"))))
 
 
+def at_phrase(t: Column) -> Column:
+    """struct<n, t>: how many words of template t, rare or not, stand at their places around its key phrase, where that is best."""
+    listed = lambda xs: F.array(*[F.array(*map(F.lit, x.split())) for x in xs])
+    text, phrase = F.get(listed(x for _, x, _ in TEMPLATES), t.cast("int")), F.get(listed(p for _, _, p in TEMPLATES), t.cast("int"))
+    before = F.get(F.array(*[F.lit(f" {x} ".split(f" {p} ")[0].count(" ")) for _, x, p in TEMPLATES]), t.cast("int"))
+    places = F.filter(F.transform("words", lambda w, i: F.when((w == F.get(phrase, F.lit(0))) & (F.slice("words", i + 1, F.size(phrase)) == phrase), i - before)), lambda i: i.isNotNull())
+    n = F.transform(places, lambda i: F.size(F.filter(F.transform(text, lambda w, k: F.get("words", i + k) == w), lambda x: F.coalesce(x, F.lit(False)))))
+    return F.struct(F.array_max(n).alias("n"), t.cast("int").alias("t"))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_idf: float = LEAST_IDF, look_up: int = LOOK_UP, aligned: int = ALIGNED) -> DataFrame:
     """Licences of every document, a row for each row of docs.
 
     Returns doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score. The score is
     the share of looked-up words that stand where the best template has them, or of all rare words
-    if no template has enough of those looked up; a base phrase alone gives 0.5; nothing gives 0. Null and empty texts have no words and no labels, a null id is kept,
+    if no template has enough of those looked up, or the share of the template's words, rare or not,
+    if only they are enough; a base phrase alone gives 0.5; nothing gives 0. Null and empty texts have no words and no labels, a null id is kept,
     ties between templates give all their labels, other columns are not looked at.
     """
     rare = [w for w, _ in rare_words(docs, text_col, least_idf)]
@@ -105,12 +116,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_
         own = own.withColumn("top", F.slice("held", 1, look_up)).withColumn("top", F.when(F.size("top") >= aligned, F.col("top")))
         for picked, runs in (("held", "good"), ("top", "scored")):
             own = with_alignments(own, picked, runs, words, postings, aligned)
-        names = F.array(*[F.lit(x) for x, _, _ in TEMPLATES])
-        own = own.withColumn("found", F.coalesce(F.array_distinct(F.transform("good", lambda r: F.get(names, r["t"]))), F.array().cast("array<string>")))
         most = lambda runs: F.array_max(F.transform(runs, lambda r: r["n"]))
-        own = own.withColumn("share", F.when(F.size("scored") > 0, F.least(F.lit(1.0), most("scored") / F.size("top"))).when(F.size("good") > 0, F.least(F.lit(1.0), most("good") / F.size("held"))).otherwise(F.lit(0.0)))
+        own = own.withColumn("share", F.when(F.size("scored") > 0, F.least(F.lit(1.0), most("scored") / F.size("top"))).when(F.size("good") > 0, F.least(F.lit(1.0), most("good") / F.size("held"))))
     else:
-        own = own.withColumn("found", F.array().cast("array<string>")).withColumn("share", F.lit(0.0))
+        own = own.withColumn("good", F.array().cast("array<struct<n:int,t:int>>")).withColumn("share", F.lit(None).cast("double"))
+    # common words have no say where chance may align them, only beside the key phrase at its own place
+    own = own.withColumn("whole", F.when(F.size("verified") > 0, F.filter(F.transform("verified", at_phrase), lambda r: r["n"] >= aligned)))
+    names = F.array(*[F.lit(x) for x, _, _ in TEMPLATES])
+    labels = lambda runs: F.coalesce(F.transform(runs, lambda r: F.get(names, r["t"])), F.array().cast("array<string>"))
+    own = own.withColumn("found", F.array_distinct(F.concat(labels("good"), labels("whole"))))
+    lengths = F.array(*[F.lit(len(text.split())) for _, text, _ in TEMPLATES])
+    own = own.withColumn("share", F.coalesce("share", F.array_max(F.transform("whole", lambda r: r["n"] / F.get(lengths, r["t"]))), F.lit(0.0)))
     return own.select(
         "doc_id",
         F.size("words").cast("long").alias("n_words"),

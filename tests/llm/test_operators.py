@@ -333,6 +333,14 @@ def test_licenses_of_two_notices(spark):
     assert {got[k].labels for k in range(100, 400)} == {""}
 
 
+def test_licenses_in_a_third_of_all_documents(spark):
+    for label in ("bsd", "zlib", "cc-by-nc"):
+        notice = next(text for x, text, _ in licenses.TEMPLATES if x == label)
+        texts = {k: f"plain prose {k}. {notice}. More of it" if k % 3 == 0 else f"plain prose number {k}" for k in range(300)}
+        got = rows_of(licenses.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")))
+        assert {(k % 3 == 0, r.labels, r.score) for k, r in got.items()} == {(True, label, 1.0), (False, "", 0.0)}
+
+
 def test_quality_learns(spark):
     rng = random.Random(9)
     good = lambda: sentence(rng, 120).replace(",", ", ")
