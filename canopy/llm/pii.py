@@ -82,6 +82,9 @@ SPOKEN = re.compile(r"(?i)(?<![\w.%+-])[a-z0-9][a-z0-9._%+-]*(?:\s+dot\s+[a-z0-9
 SPOKEN_IP = re.compile(r"(?i)(?<![\w.])[0-9]{1,3}(?:(?:\s+dot\s+|\.)[0-9]{1,3}){3}(?![\w.])")
 SPACED_AT = re.compile(r"(?i)(?<=[a-z0-9])\s+@\s+(?=[a-z0-9])")
 BRACKETED = re.compile(rf"{_OPEN}\s*(?:[aA][tT]|[dD][oO][tT]|@|\.)\s*{_CLOSE}")
+#: What SPOKEN needs if no dot is told in words, and what DIGITS_SPELLED needs.
+SPOKEN_AT = re.compile(r"(?i)\sat\s+[a-z0-9-]+\.[a-z0-9-]")
+DIGIT_WORD = re.compile(rf"\b(?:{_WORD})\b")
 
 
 def suspicious(text: str) -> bool:
@@ -97,7 +100,7 @@ def suspicious(text: str) -> bool:
     low = text.lower()
     if "dot" in low or BRACKETED.search(text) or ("@" in text and SPACED_AT.search(text)):
         return True
-    return not SPELLED.keys().isdisjoint(low.replace(",", " ").replace("-", " ").split())
+    return bool(SPOKEN_AT.search(text) or DIGIT_WORD.search(low))
 
 
 class Tape:

@@ -269,6 +269,9 @@ def test_pii_base_against_plain_patterns():
         ("j​ohn@exa​mple.org", "email", "j​ohn@exa​mple.org"),
         ("call plus one five five five one two three four five six seven", "phone", "plus one five five five one two three four five six seven"),
         ("４１１１１１１１１１１１１１１１", "card", "４１１１１１１１１１１１１１１１"),
+        ("write to jane.doe at example.com today", "email", "jane.doe at example.com"),
+        ("write to jane.doe at example.com on day one", "email", "jane.doe at example.com"),
+        ("call 5 5 5 1 2 3 4 6 7 seven.", "phone", "5 5 5 1 2 3 4 6 7 seven"),
         ("at 10 dot 0 dot 0 dot 1 it is", "ip", "10 dot 0 dot 0 dot 1"),
     ],
 )
