@@ -122,20 +122,14 @@ def lines_of(page: str) -> list[Line]:
     return out
 
 
-def main_text(page: str, window: int = WINDOW, surge: int = SURGE, beside: float = BESIDE) -> str:
-    """The text between surge and dive points of the distribution of line lengths.
+def stretches_of(lines: list[Line], window: int, surge: int) -> list[list[Line]]:
+    """Lines with text of their own between surge and dive points; none without a surge.
 
-    Lines in menus, forms and the like, and lines of links, weigh nothing; every line of an article
-    element weighs a surge of its own. A stretch begins where a window of lines reaches `surge` and
-    ends where all of a window is empty. The longest stretch counts, and others that come near it.
+    Lines in menus, forms and the like weigh nothing, nor do lines of links outside of an article.
     """
-    lines = lines_of(page)
-    if any(x.main and not x.aside for x in lines):
-        weight = [max(len(x.text), surge) if x.main and not x.aside else 0 for x in lines]
-    else:
-        weight = [0 if x.aside or 2 * x.linked > len(x.text) else len(x.text) for x in lines]
+    weight = [0 if x.aside or not x.main and 2 * x.linked > len(x.text) else len(x.text) for x in lines]
     sums = [sum(weight[i : i + window]) for i in range(len(lines))]
-    stretches: list[tuple[int, list[str]]] = []
+    out: list[list[Line]] = []
     i = 0
     while i < len(lines):
         if not weight[i] or sums[i] < surge:
@@ -144,11 +138,28 @@ def main_text(page: str, window: int = WINDOW, surge: int = SURGE, beside: float
         begin = i
         while i < len(lines) and sums[i]:
             i += 1
-        stretches.append((sum(weight[begin:i]), [x.text for x, w in zip(lines[begin:i], weight[begin:i], strict=True) if w]))
-    if not stretches:
-        return ""
-    most = max(n for n, _ in stretches)
-    return " ".join(t for n, texts in stretches if n >= beside * most or any(x.main for x in lines) for t in texts)
+        out.append([x for x, w in zip(lines[begin:i], weight[begin:i], strict=True) if w])
+    return out
+
+
+def main_text(page: str, window: int = WINDOW, surge: int = SURGE, beside: float = BESIDE) -> str:
+    """The text between surge and dive points of the distribution of line lengths.
+
+    A stretch begins where a window of lines reaches `surge` and ends where all of a window is
+    empty. The longest stretch counts, and others that come near it. The article element is a check
+    that follows: if its lines hold as many characters as the other lines of any stretch, they are
+    the text and no others; if they hold fewer, they may be cards, and the text is the stretches' and theirs.
+    """
+    lines = lines_of(page)
+    stretches = stretches_of(lines, window, surge)
+    size = lambda xs: sum(len(x.text) for x in xs)
+    article = [x for x in lines if x.main and not x.aside]
+    longest = max(size(x for x in xs if not x.main) for xs in stretches) if stretches else 0
+    if article and size(article) >= longest:
+        return " ".join(x.text for x in article)
+    most = max(map(size, stretches), default=0)
+    kept = {id(x) for xs in stretches if size(xs) >= beside * most for x in xs}
+    return " ".join(x.text for x in lines if id(x) in kept or x.main and not x.aside)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

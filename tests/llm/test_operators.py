@@ -14,6 +14,7 @@ from canopy.llm import bpe, html, jaccard, licenses, packing, pii, quality, rule
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, share long, version string, key string, words string, n long"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+BODY = "Text that goes on for long enough to be taken for the main text of the page."
 
 
 def sentence(rng, n):
@@ -301,6 +302,8 @@ def test_pii_columns_and_nulls(spark, docs):
         ('<div id="menu"><a href=x>Home</a></div><div><h1>Title</h1><p>Text that goes on for long enough to be taken for the main text of it.</p><p>End.</p></div><div class="comments"><p>A comment that is long enough to be text too, were it not where it is.</p></div>', "Title Text that goes on for long enough to be taken for the main text of it. End."),
         ("<article><script>var a='</p>'</script><style>p{}</style><!-- <p>no</p> --><p>x &lt; y</p><form><p>Your mail</p></form></article>", "x < y"),
         ("<article><p>a<div class='ad'>buy</div><p>b</article><aside>c</aside>", "a b"),
+        (f"<div><h1>Title</h1><p>{BODY}</p><p>{BODY}</p></div><article><h2>More</h2><p>A teaser</p></article><article><p>Another teaser</p></article>", f"Title {BODY} {BODY} More A teaser Another teaser"),
+        (f"<div>Buy</div><article><h1>Title</h1><p>{BODY}</p><p>End</p></article>", f"Title {BODY} End"),
     ],
 )
 def test_html(page, text):
