@@ -123,11 +123,13 @@ def lines_of(page: str) -> list[Line]:
 
 
 def stretches_of(lines: list[Line], window: int, surge: int) -> list[list[Line]]:
-    """Lines with text of their own between surge and dive points; none without a surge.
+    """Lines with text of their own between surge and dive points; without a surge, all of them.
 
-    Lines in menus, forms and the like weigh nothing, nor do lines of links outside of an article.
+    Lines in menus, forms and the like are left out beforehand, so none parts a text from its tail;
+    lines of links outside of an article weigh nothing.
     """
-    weight = [0 if x.aside or not x.main and 2 * x.linked > len(x.text) else len(x.text) for x in lines]
+    lines = [x for x in lines if not x.aside]
+    weight = [0 if not x.main and 2 * x.linked > len(x.text) else len(x.text) for x in lines]
     sums = [sum(weight[i : i + window]) for i in range(len(lines))]
     out: list[list[Line]] = []
     i = 0
@@ -139,7 +141,8 @@ def stretches_of(lines: list[Line], window: int, surge: int) -> list[list[Line]]
         while i < len(lines) and sums[i]:
             i += 1
         out.append([x for x, w in zip(lines[begin:i], weight[begin:i], strict=True) if w])
-    return out
+    rest = [x for x, w in zip(lines, weight, strict=True) if w]
+    return out or ([rest] if rest else [])
 
 
 def main_text(page: str, window: int = WINDOW, surge: int = SURGE, beside: float = BESIDE) -> str:

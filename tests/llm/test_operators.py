@@ -310,6 +310,12 @@ def test_html(page, text):
     assert html.main_text(page or "") == text
 
 
+def test_html_tail_and_short_text():
+    advert = "<aside>" + "<p>Buy this now, it is cheap</p>" * 3 + "</aside>"
+    assert html.main_text(f"<div><p>{BODY}</p><p>{BODY}</p>{advert}<p>The end.</p></div>") == f"{BODY} {BODY} The end."
+    assert html.main_text("<nav><p>Home</p></nav><div><p>Short text.</p></div>") == "Short text."
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>été</p></article>", "t"), (None, None, None, "t")], "page_id long, url string, html string, text string")
     assert sorted(map(tuple, html.extract(df).collect()), key=str) == [(1, "u", "été", 3), (None, None, "", 0)]
