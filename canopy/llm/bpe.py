@@ -24,23 +24,23 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     ids_t, off_t = pa.list_(pa.int32()), pa.list_(pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = tokens.encoder(path, pattern)
-        table = tokens.Bytes(enc.tok)
-        for b in common.pieces(batches, "text"):
-            texts = b.column(1).to_pylist()
-            ids, off = enc.encode(texts)
-            lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids.astype(np.int32)))
-            cols = [b.column(0), lists]
-            if offsets:
-                data, at = table.decode(ids, off)
-                ends = np.cumsum(table.size[ids]) if len(ids) else np.zeros(0, np.int64)
-                begins = ends - table.size[ids]
-                base = np.repeat(tokens.char_spans(data, at[:-1]), np.diff(off))
-                last = tokens.char_spans(data, ends) if len(ids) else ends
-                first = np.where(np.append(data, 0)[begins] & 0xC0 == 0x80, 1, 0) if len(ids) else begins
-                start = (tokens.char_spans(data, begins) if len(ids) else begins) - first
-                cols += [pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array((x - base).astype(np.int32))) for x in (start, last)]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "ids", "char_start", "char_end"][: len(cols)])
+        with tokens.lent(path, pattern) as enc:
+            table = tokens.Bytes(enc.tok)
+            for b in common.pieces(batches, "text"):
+                texts = b.column(1).to_pylist()
+                ids, off = enc.encode(texts)
+                lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids.astype(np.int32)))
+                cols = [b.column(0), lists]
+                if offsets:
+                    data, at = table.decode(ids, off)
+                    ends = np.cumsum(table.size[ids]) if len(ids) else np.zeros(0, np.int64)
+                    begins = ends - table.size[ids]
+                    base = np.repeat(tokens.char_spans(data, at[:-1]), np.diff(off))
+                    last = tokens.char_spans(data, ends) if len(ids) else ends
+                    first = np.where(np.append(data, 0)[begins] & 0xC0 == 0x80, 1, 0) if len(ids) else begins
+                    start = (tokens.char_spans(data, begins) if len(ids) else begins) - first
+                    cols += [pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array((x - base).astype(np.int32))) for x in (start, last)]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "ids", "char_start", "char_end"][: len(cols)])
 
     schema = "doc_id long, ids array<int>" + ", char_start array<int>, char_end array<int>" * offsets
     assert ids_t == off_t
@@ -69,23 +69,23 @@ def digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = tokens.encoder(path, pattern)
-        table = tokens.Bytes(enc.tok)
-        for b in common.pieces(batches, "text", 2 << 20):
-            ids, off = enc.encode(b.column(1).to_pylist())
-            data, at = table.decode(ids, off)
-            raw, text = memoryview(ids.astype("<u4").view(np.uint8)), memoryview(data)
-            spans, chars = off.tolist(), at.tolist()
-            n = b.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0),
-                    pa.array(np.diff(off), pa.int64()),
-                    pa.array([hashlib.sha256(raw[4 * spans[i] : 4 * spans[i + 1]]).hexdigest() for i in range(n)]),
-                    pa.array([hashlib.sha256(text[chars[i] : chars[i + 1]]).hexdigest() for i in range(n)]),
-                ],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+        with tokens.lent(path, pattern) as enc:
+            table = tokens.Bytes(enc.tok)
+            for b in common.pieces(batches, "text", 2 << 20):
+                ids, off = enc.encode(b.column(1).to_pylist())
+                data, at = table.decode(ids, off)
+                raw, text = memoryview(ids.astype("<u4").view(np.uint8)), memoryview(data)
+                spans, chars = off.tolist(), at.tolist()
+                n = b.num_rows
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column(0),
+                        pa.array(np.diff(off), pa.int64()),
+                        pa.array([hashlib.sha256(raw[4 * spans[i] : 4 * spans[i + 1]]).hexdigest() for i in range(n)]),
+                        pa.array([hashlib.sha256(text[chars[i] : chars[i + 1]]).hexdigest() for i in range(n)]),
+                    ],
+                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)

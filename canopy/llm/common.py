@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import math
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,25 +22,61 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the checkpoint folder and go on from there.
 
-    The folder is the one that ``spark.checkpoint.dir`` names; only where none is set
-    (a local session, as in tests) a temporary one is taken.
+    The folder is the one that ``spark.checkpoint.dir`` names. Where none is set, a local session
+    (as in tests) takes a temporary one, and a cluster one in the warehouse, which all machines share.
     """
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="canopy-checkpoint-"))
+        own = tempfile.mkdtemp(prefix="canopy-checkpoint-") if sc.master.startswith("local[") or sc.master == "local" else f"{spark.conf.get('spark.sql.warehouse.dir')}/canopy-checkpoints"
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own)
     return df.checkpoint(eager=True)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """The size of df as the optimizer estimates it (for files: their bytes)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+def drop(df: DataFrame) -> None:
+    """Remove the files of a frame made by `cut`; only once nothing reads it any more."""
+    at = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if at.isDefined():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(at.get())
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def buckets_for(df: DataFrame, bytes_each: int, least: int = 32, most: int = 1 << 20) -> int:
-    """How many hash buckets to deal df's bytes into: a power of two that grows with the input."""
-    want = max(1, input_bytes(df)) / bytes_each
-    return int(min(most, max(least, 2 ** math.ceil(math.log2(max(want, 1))))))
+def trim() -> None:
+    """Give memory that Arrow and the C library keep for later back to the system."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A worker is used again for other tasks; what this one took goes back at its end."""
+
+    @functools.wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return tidied
+
+
+def text_total(df: DataFrame, text_col: str) -> int:
+    """The bytes of all texts, counted: an optimizer's estimate multiplies the sides of joins that df comes from."""
+    return int(df.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0)
+
+
+def buckets(total: int, bytes_each: int, least: int = 32, most: int = 1 << 20) -> int:
+    """How many hash buckets to deal so many bytes into: a power of two that grows with the input."""
+    return int(min(most, max(least, 2 ** math.ceil(math.log2(max(total / bytes_each, 1))))))
+
+
+def unused(df: DataFrame, stem: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
 
 
 def ascii_lower(c: Column) -> Column:
@@ -72,6 +110,26 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     raise TypeError(col.type)
 
 
+#: A key is hot if it has more than this part of all rows; so there are fewer hot keys than its inverse.
+HOT_SHARE = 1 / 512
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of `table`, which has each key once, or nulls: a left join on `key` that no hot key slows down.
+
+    Hot keys, less than 1 / HOT_SHARE of them, are looked up in a broadcast of their rows of the
+    table; the others meet by a shuffle. `rows` is read three times, so it should be written already.
+    """
+    counts = rows.groupBy(key).count()
+    total = rows.count()
+    hot = [r[0] for r in counts.where((F.col("count") > total * HOT_SHARE) & F.col(key).isNotNull()).select(key).collect()]
+    if not hot:
+        return rows.join(table, key, "left")
+    hots = F.broadcast(rows.sparkSession.createDataFrame([(k,) for k in hot], rows.select(key).schema))
+    few = F.broadcast(table.join(hots, key, "left_semi"))
+    return rows.join(hots, key, "left_semi").join(few, key, "left").unionByName(rows.join(hots, key, "left_anti").join(table, key, "left"))
+
+
 def components(spark: SparkSession, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of edges(a long, b long): rows (id, root), root the smallest id.
 

@@ -9,20 +9,23 @@ memory of parts lasts.
 from __future__ import annotations
 
 import base64
-import json
 import os
 import re
+import threading
+import time
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 
+from canopy.llm import common
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Parts remembered in a worker before it starts afresh.
-REMEMBER = 900_000
-#: A part that is one match of any byte-level pattern: letters, perhaps after a space; then perhaps one mark, a match of its own.
-WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,]?)")
-#: White space other than the space and the line end.
-ODD_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Parts remembered in a worker before it starts afresh: some 90 MB.
+REMEMBER = 400_000
+#: Seconds without work after which a worker forgets them.
+IDLE = 2.0
 #: A part that is one match of any byte-level pattern: letters, perhaps after a space; then perhaps one mark, a match of its own.
 WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,]?)")
 #: White space that is not a lone space or line end between other characters.
@@ -196,6 +199,8 @@ def char_spans(data: np.ndarray, byte_ends: np.ndarray) -> np.ndarray:
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
+_LOCK = threading.Lock()
+_lent, _ended = 0, 0.0
 
 
 def encoder(path: str, pattern: str | None = None) -> Encoder:
@@ -206,6 +211,30 @@ def encoder(path: str, pattern: str | None = None) -> Encoder:
     return _ENCODERS[key]
 
 
-def vocabulary_size(path: str) -> int:
-    with open(path, encoding="utf-8") as f:
-        return len(json.load(f)["model"]["vocab"])
+@contextmanager
+def lent(path: str, pattern: str | None = None) -> Iterator[Encoder]:
+    """An encoder for the length of a task.
+
+    The next task of the same kind finds the parts that this one has learned; a worker that gets
+    none of them soon forgets them, so that they do not lie beside what other operators need.
+    """
+    global _lent, _ended
+    with _LOCK:
+        _lent += 1
+        own = encoder(path, pattern)
+    try:
+        yield own
+    finally:
+        with _LOCK:
+            _lent, _ended = _lent - 1, time.monotonic()
+        later = threading.Timer(IDLE, _forget)
+        later.daemon = True
+        later.start()
+
+
+def _forget() -> None:
+    with _LOCK:
+        if not _lent and time.monotonic() - _ended > 0.9 * IDLE:
+            for x in _ENCODERS.values():
+                x.fresh()
+            common.trim()
