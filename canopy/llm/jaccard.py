@@ -14,7 +14,8 @@ from canopy.llm import common
 WORDS = 5
 #: Similarity in percent; compared in whole numbers.
 PERCENT = 75
-BITS = 2048
+#: Bits of a set's bitmap, eight for each token of the median set within these limits; sets below a node of the lowest level.
+BITS, MOST_BITS = 2048, 1 << 16
 LEAF = 64
 #: Bytes of shingle sets that one task compares at most; larger clusters are compared block by block.
 BLOCK_BYTES = 24 << 20
@@ -99,21 +100,23 @@ class SignatureTree:
     """Sets in a hierarchy of nodes with OR-combined token bitmaps and size ranges."""
 
     def __init__(self, sets: list[np.ndarray]) -> None:
-        self.sets = sets
         n = len(sets)
         size = np.array([len(s) for s in sets])
         least = np.array([s[0] if len(s) else 0 for s in sets], np.uint64)
         # sizes that may link stand near each other, and of those sets with the same least token
         grade = np.floor(np.log(np.maximum(size, 1)) / np.log(4 / 3))
         self.order = np.lexsort((size, least, grade))
-        bits = np.zeros((n, BITS // 64), np.uint64)
-        for row, i in enumerate(self.order):
-            at = (mix(sets[i]) % np.uint64(BITS)).astype(np.int64)
+        self.sets = [sets[i] for i in self.order]
+        # bitmaps that long sets do not fill
+        width = int(min(MOST_BITS, max(BITS, 2 ** int(np.ceil(np.log2(max(8 * np.median(size), 1)))))))
+        bits = np.zeros((n, width // 64), np.uint64)
+        for row, s in enumerate(self.sets):
+            at = (mix(s) % np.uint64(width)).astype(np.int64)
             np.bitwise_or.at(bits[row], at // 64, np.uint64(1) << (at % 64).astype(np.uint64))
         size = size[self.order]
         slack = size - np.bitwise_count(bits).sum(1).astype(np.int64)
         self.levels = [(bits, size, size, slack)]
-        while len(self.levels[-1][0]) > 1:
+        while len(self.levels) < 2 or len(self.levels[-1][0]) > 1:
             b, lo, hi, sl = self.levels[-1]
             at = np.arange(0, len(b), LEAF)
             self.levels.append((np.bitwise_or.reduceat(b, at), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.maximum.reduceat(sl, at)))
@@ -128,76 +131,60 @@ class SignatureTree:
         return others[fits & ((100 + percent) * overlap >= percent * (lo[i] + lo[others]))]
 
     def links(self, percent: int) -> np.ndarray:
-        """The root of each set: links between sets that are not yet joined are looked for by dual traversal."""
+        """The root of each set: one member of its component of links, by dual traversal.
+
+        Pairs of nodes wait on the stack, a node with itself first; sets are compared where both are
+        below nodes of the lowest level. What one component holds already is not compared again.
+        """
         n = len(self.sets)
-        root = np.arange(n)
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        sets = [self.sets[i] for i in self.order]
-        if n > 2:  # sets near one set of a group are joined at once; the traversal has to look for the others
-            self._pivots(sets, root, percent, find)
-        top = len(self.levels) - 1
-        stack = [(top, 0, 0)]
+        root, members = np.arange(n), {x: [x] for x in range(n)}
+
+        def join(a: int, b: int) -> None:
+            a, b = int(root[a]), int(root[b])
+            if a != b:
+                a, b = (a, b) if len(members[a]) >= len(members[b]) else (b, a)
+                root[members[b]] = a
+                members[a] += members.pop(b)
+
+        stack = [(len(self.levels) - 1, 0, 0)] if n else []
         while stack:
             level, i, j = stack.pop()
-            if level == 0:
-                a, b = find(i), find(j)
-                if a != b and (s := sets[i]) is not None:
-                    t = sets[j]
-                    both = len(np.intersect1d(s, t, assume_unique=True))
-                    if 100 * both >= percent * (len(s) + len(t) - both):
-                        root[max(a, b)] = min(a, b)
-                continue
             span = LEAF**level
-            own = {find(x) for x in (*range(i * span, min(n, (i + 1) * span)), *range(j * span, min(n, (j + 1) * span)))} if span <= 512 else {0, 1}
-            if len(own) == 1:
+            left, right = root[i * span : (i + 1) * span], root[j * span : (j + 1) * span]
+            if (left == left[0]).all() and (right == left[0]).all():
                 continue
-            below = len(self.levels[level - 1][0])
-            left = np.arange(i * LEAF, min(below, (i + 1) * LEAF))
-            right = np.arange(j * LEAF, min(below, (j + 1) * LEAF))
-            for x in left:
-                for y in self.may_link(level - 1, x, right[right >= x + (level == 1)] if i == j else right, percent):
-                    stack.append((level - 1, int(x), int(y)))
+            below = np.arange(j * LEAF, min(len(self.levels[level - 1][0]), (j + 1) * LEAF))
+            for x in range(i * LEAF, min(len(self.levels[level - 1][0]), (i + 1) * LEAF)):
+                others = below[below > x] if i == j else below
+                if level > 1:
+                    stack += [(level - 1, x, int(y)) for y in self.may_link(level - 1, x, others, percent)]
+                elif len(others := others[root[others] != root[x]]) and len(others := self.may_link(0, x, others, percent)):
+                    for y in others[self._linked(x, others, percent)]:
+                        join(x, int(y))
+            if level > 1 and i == j:
+                stack += [(level - 1, int(x), int(x)) for x in below]
         out = np.empty(n, np.int64)
-        for row, i in enumerate(self.order):
-            out[i] = self.order[find(row)]
+        out[self.order] = self.order[root]
         return out
 
-    def _pivots(self, sets: list[np.ndarray], root: np.ndarray, percent: int, find) -> None:
-        flat, sizes = np.concatenate(sets), np.array([len(s) for s in sets])
-        off = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        for _ in range(24):
-            roots = np.array([find(x) for x in range(len(sets))])
-            alone = np.flatnonzero(np.bincount(roots, minlength=len(sets))[roots] == 1)
-            alone = alone[[not hasattr(self, "_seen") or x not in self._seen for x in alone]] if len(alone) else alone
-            if len(alone) < 3:
-                break
-            self._seen = getattr(self, "_seen", set())
-            pivot = int(alone[len(alone) // 2])
-            self._seen.add(pivot)
-            at = np.minimum(np.searchsorted(sets[pivot], flat), len(sets[pivot]) - 1)
-            both = np.add.reduceat((sets[pivot][at] == flat).astype(np.int64), off)
-            near = np.flatnonzero(100 * both >= percent * (sizes + sizes[pivot] - both))
-            low = min(find(int(x)) for x in near)
-            for x in near:
-                root[find(int(x))] = low
-                low = find(low)
-
-
-def _documents(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles and set_hash of every document."""
+    def _linked(self, x: int, others: np.ndarray, percent: int) -> np.ndarray:
+        own, sizes = self.sets[x], np.array([len(self.sets[y]) for y in others])
+        flat = np.concatenate([self.sets[y] for y in others])
+        met = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+        both = np.add.reduceat(met.astype(np.int64), np.cumsum(sizes) - sizes)
+        return 100 * both >= percent * (sizes + len(own) - both)
+
+
+def _documents(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, text_hash, n_bytes, n_shingles and set_hash of every document."""
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.pieces(batches, "text", 2 << 20):
-            sets = _sets_of(b, words)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) for s in sets], pa.int64())], names=["doc_id", "n_shingles", "set_hash"])
+            sets, sizes = _sets_of(b, words), np.diff(common.text_bytes(b.column(1))[1])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(sizes), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) for s in sets], pa.int64())], names=["doc_id", "text_hash", "n_bytes", "n_shingles", "set_hash"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_hash long")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, n_bytes long, n_shingles long, set_hash long")
 
 
 def _shared_counts(own: DataFrame, words: int, shares: int) -> DataFrame:
@@ -208,6 +195,7 @@ def _shared_counts(own: DataFrame, words: int, shares: int) -> DataFrame:
     the order of their hashes: the logarithm of the number of sets that have it.
     """
 
+    @common.tidy
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.pieces(batches, "text", 4 << 20):
             sets = {set_hash(s): s for s in _sets_of(b, words) if len(s)}
@@ -270,6 +258,7 @@ def _prefix_edges(texts: DataFrame, words: int, percent: int, frequency_shares:
     link, or that sets of sizes between them connect, get an edge.
     """
 
+    @common.tidy
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.pieces(batches, "text", 8 << 20):
             tokens, who, size = [], [], []
@@ -321,33 +310,42 @@ def _prefix_edges(texts: DataFrame, words: int, percent: int, frequency_shares:
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of `percent` or more.
 
-    Returns doc_id, n_shingles, component_id: a row for each row of docs. Null, empty and wordless
-    texts have no shingles and are a component each; texts of fewer than `words` words have one. A
-    null id is no one's component id unless nothing else is there; repeated rows and equal sets
-    are one component; other columns are not looked at.
+    Returns doc_id, text_hash, n_shingles, component_id and first: a row for each row of docs. first
+    tells whether the row has the component's smallest id (a null one last) and, of that, the text
+    of least hash; repeated rows are all first or none of them. Null, empty and wordless texts have no shingles and
+    are a component each; texts of fewer than `words` words have one. A null id is no one's
+    component id unless nothing else is there; repeated rows and equal sets are one component; other
+    columns are not looked at.
 
     Equal sets count once. A set of which fewer shingles than `percent` of them stand in other sets
     links with none. Of the others, those that share a prefix shingle form clusters (connected
     components of the sharing), so a set goes to one task only; there, signature trees find the
     links. A cluster too large for a task is compared block by block, each pair of blocks in a task
-    of its own. Texts that only rows without id have are not compared.
+    of its own.
     """
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    facts = common.cut(_documents(own, words, "doc_id", "text"))
-    shares = common.buckets_for(docs, 24 << 20, least=16)
+    own = own.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    facts = common.cut(_documents(own, words))
+    total = facts.agg(F.sum("n_bytes")).first()[0] or 0
+    shares = common.buckets(total, 32 << 20, least=16)
     shared = _shared_counts(own, words, shares)
-    kinds = facts.where("n_shingles > 0").groupBy("set_hash").agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("doc_id"))
-    alive = kinds.join(shared, "set_hash").where((100 * F.col("shared") >= percent * F.col("n")) & F.col("doc_id").isNotNull()).select("doc_id", F.col("set_hash").alias("want"), "n", "classes")
-    texts = common.cut(own.join(alive, "doc_id"))
-    edges = _prefix_edges(texts, words, percent, shares, common.buckets_for(docs, 32 << 20))
+    # the row that stands for all of its set
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("best")
+    kinds = common.cut(facts.where("n_shingles > 0").groupBy("set_hash").agg(F.first("n_shingles").alias("n"), best))
+    alive = kinds.join(shared, "set_hash").where(100 * F.col("shared") >= percent * F.col("n")).select("best.doc_id", "best.text_hash", F.col("set_hash").alias("want"), "n", "classes")
+    key = F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), "text_hash")
+    texts = own.where("text is not null").select(key.alias("row"), "doc_id", "text").join(alive.select(key.alias("row"), "want", "n", "classes"), "row")
+    texts = common.cut(texts.dropDuplicates(["row"]).select("doc_id", "text", "want", "n", "classes"))
+    edges = _prefix_edges(texts, words, percent, shares, common.buckets(total, 48 << 20))
     clusters = common.components(spark, edges)
     sized = texts.select(F.col("want").alias("id"), "n").dropDuplicates(["id"]).join(clusters, "id").select("id", F.col("root").alias("cluster"), "n")
-    weight = sized.groupBy("cluster").agg((F.sum("n") * 8).alias("bytes"))
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("bytes") / (BLOCK_BYTES / 2))).cast("int")
-    placed = sized.join(weight, "cluster").select(F.col("id").alias("want"), "cluster", F.when(F.col("bytes") <= BLOCK_BYTES, 1).otherwise(blocks).alias("blocks"))
+    weight = sized.groupBy("cluster").agg((F.sum("n") * 8).alias("bytes")).where(F.col("bytes") > BLOCK_BYTES)
+    # few clusters are so large: no more than the sets' bytes / BLOCK_BYTES
+    placed = sized.join(weight, "cluster", "left").select(F.col("id").alias("want"), "cluster", F.coalesce(F.ceil(F.col("bytes") / (BLOCK_BYTES / 2)), F.lit(1)).cast("int").alias("blocks"))
     texts = texts.join(placed, "want").select("doc_id", "text", "want", "cluster", "blocks")
 
+    @common.tidy
     def located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.pieces(batches, "text", 2 << 20):
             own_sets = _sets_of(b, words)
@@ -362,6 +360,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: st
             cols = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["cluster", "i", "j", "id", "tokens"])
 
+    @common.tidy
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Clusters come whole and in order; each is compared when its last row has come."""
         held: dict[int, np.ndarray] = {}
@@ -388,14 +387,18 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: st
     dealt = texts.mapInArrow(located, "cluster long, i int, j int, id long, tokens binary").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "id")
     links = dealt.mapInArrow(compare, "a long, b long")
     groups = common.components(spark, links)
-    named = facts.join(groups.select(F.col("id").alias("set_hash"), "root"), "set_hash", "left").withColumn("group", F.coalesce("root", "set_hash"))
-    smallest = named.where("n_shingles > 0").groupBy("group").agg(F.min("doc_id").alias("least"))
-    out = named.join(smallest, "group", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    # sets that link with others are named after their group; then documents after their sets
+    grouped = common.cut(kinds.join(groups.select(F.col("id").alias("set_hash"), "root"), "set_hash").select("set_hash", "root", "best"))
+    least = grouped.groupBy("root").agg(F.min("best").alias("best"))
+    named = common.lookup(grouped.select("set_hash", "root"), least, "root").select("set_hash", "best")
+    rest = kinds.select("set_hash", "best").join(grouped.select("set_hash"), "set_hash", "left_anti")
+    out = common.lookup(facts, named.unionByName(rest), "set_hash")
+    same = F.col("best").isNull() | F.col("best").eqNullSafe(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
+    return out.select("doc_id", "text_hash", "n_shingles", F.coalesce("best.doc_id", "doc_id").alias("component_id"), same.alias("first"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(common.table(spark, sf_dir, "documents"))
+    return join(common.table(spark, sf_dir, "documents")).drop("text_hash", "first")
 
 
 SQL = rf"""

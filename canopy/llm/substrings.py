@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from canopy.llm import common
 from canopy.llm.jaccard import mix
@@ -221,12 +222,13 @@ def _own_segments(b: pa.RecordBatch, length: int, k: int) -> tuple[Anchors, np.n
 def removed_ranges(docs: DataFrame, length: int, k: int, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """Documents with the blobs that say which of their passages start earlier elsewhere: doc_id, version, text, flags, starts, and the columns to carry as one."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    extra = [F.struct(*[F.col(c) for c in carry]).alias("extra")] if carry else []
+    extra = [F.struct(*[docs[f"`{c}`"] for c in carry]).alias("extra")] if carry else []
     # no id sorts before all ids
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text"), *extra)
     extra = ["extra"] * bool(carry)
-    shares = common.buckets_for(docs, 4 << 20)
+    shares = common.buckets(common.text_total(docs, text_col), 8 << 20)
 
+    @common.tidy
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.pieces(batches, "text", PIECE):
             seg, number, _, _ = _own_segments(b, length, k)
@@ -247,6 +249,7 @@ def removed_ranges(docs: DataFrame, length: int, k: int, id_col: str, text_col:
     # what is carried goes through both uses of this join, so that its shuffle serves both
     marked = keyed.join(flags, ["doc_id", "version"], "left").select("doc_id", "version", "text", "flags", *extra)
 
+    @common.tidy
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Segments to be sorted, by anchor; and starts of hot anchors, by passage."""
         for b in common.pieces(batches, "text", PIECE):
@@ -274,6 +277,7 @@ def removed_ranges(docs: DataFrame, length: int, k: int, id_col: str, text_col:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["bucket", "doc_id", "version", "lo", "n", "anchor", "bytes"])
 
+    @common.tidy
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Buckets come whole and in order; blocks of whole buckets are sorted, one after the other."""
 
@@ -351,8 +355,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, id_col: str =
     out again as the struct `extra`, so no join is needed to find them; others are ignored.
     """
     marked = removed_ranges(docs, length, k, id_col, text_col, carry)
-    kind = marked.schema["extra"].dataType.simpleString() if carry else ""
-
+    @common.tidy
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.struct([("begin", pa.int32()), ("end", pa.int32())])
         for b in common.pieces(batches, "text", PIECE):
@@ -378,8 +381,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, id_col: str =
             cols = [ids, b.column(1), pa.array(n), pa.array(n - left), pa.array([len(s) for s in spans], pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, pa.list_(span)), *b.columns[5:]]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "version", "n_bytes", "n_removed", "n_spans", "kept", "removed", "extra"][: len(cols)])
 
-    schema = "doc_id long, version long, n_bytes long, n_removed long, n_spans long, kept binary, removed array<struct<begin:int,end:int>>"
-    return marked.mapInArrow(finish, schema + f", extra {kind}" * bool(carry))
+    schema = T.StructType.fromDDL("doc_id long, version long, n_bytes long, n_removed long, n_spans long, kept binary, removed array<struct<begin:int,end:int>>")
+    return marked.mapInArrow(finish, schema.add("extra", marked.schema["extra"].dataType) if carry else schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,6 +91,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, projections: int
     least = least_count(projections, math.erf((wide * (STEPS - 0.5) / STEPS) / far / math.sqrt(2)), recall)
     reach = quantile(recall) * far
 
+    @common.tidy
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, first = [], []
@@ -112,6 +113,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, projections: int
     near = [[j for j in range(len(edges) - 1) if (j >= i and edges[j] - edges[i + 1] <= reach) or (j < i and edges[i] - edges[j + 1] <= reach)] for i in range(len(edges) - 1)]
     shared = spark.sparkContext.broadcast((bounds, near))
 
+    @common.tidy
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds, near = shared.value
         for b in batches:
