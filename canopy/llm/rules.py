@@ -91,19 +91,18 @@ def judge(
     """Measures and verdict of every document, a row for each row of df.
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
-    n_common_words (words in boilerplate lines) and common (hashes of the host's such lines, null if
-    it has none). Null texts count as empty, a null host is a host of its own name '', null ids stay;
+    n_common_words (words in boilerplate lines) and common (hashes of its own such lines, null if
+    the host has none). Null texts count as empty, a null host is a host of its own name '', null ids stay;
     rows that repeat a text count as one document of a line; other columns are not looked at.
     """
-    base = measures(df, id_col, text_col, host_col)
+    # written once: lines are counted, and then looked up, from the same measures
+    base = common.cut(measures(df, id_col, text_col, host_col))
     found = boilerplate(base, least_docs, share)
-    out = base.join(found, "host", "left").withColumn(
-        "n_common_words",
-        F.when(F.col("common").isNull(), F.lit(0)).otherwise(F.aggregate(F.filter("lines", lambda x: F.array_contains(F.col("common"), x["h"])), F.lit(0), lambda s, x: s + x["w"])).cast("long"),
-    )
+    out = common.lookup(base, found, "host").withColumn("boiler", F.when(F.col("common").isNotNull(), F.filter("lines", lambda x: F.array_contains(F.col("common"), x["h"]))))
+    out = out.withColumn("n_common_words", F.coalesce(F.aggregate("boiler", F.lit(0), lambda s, x: s + x["w"]), F.lit(0)).cast("long"))
     out = out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     verdict = ~F.col("base_failed") & (F.col("n_common_words") <= depleted * F.col("n_words"))
-    return out.select("doc_id", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", verdict.alias("kept"), "n_common_words", "common")
+    return out.select("doc_id", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", verdict.alias("kept"), "n_common_words", F.array_distinct(F.transform("boiler", lambda x: x["h"])).alias("common"))
 
 
 def clean(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", host_col: str = "source", **limits) -> DataFrame:
@@ -111,13 +110,15 @@ def clean(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", host_co
 
     The verdict is found again by id and text, so rows that repeat an id with another text are judged each for itself.
     """
+    id_, hash_, lines = (common.unused(df, x) for x in ("id", "hash", "common"))
     # written first: a filter pushed below the measures would have each of their steps evaluated over and over
-    kept = common.cut(judge(df, id_col, text_col, host_col, **limits)).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.when(F.col("n_common_words") > 0, F.col("common")).alias("__common")).dropDuplicates(["__id", "__hash"])
-    own = df.withColumn("__id", F.col(id_col).cast("long")).withColumn("__hash", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    joined = own.alias("d").join(kept.alias("k"), F.col("d.__id").eqNullSafe(F.col("k.__id")) & (F.col("d.__hash") == F.col("k.__hash")))
-    text = F.col(f"d.{text_col}")
-    less = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(F.col("k.__common"), F.xxhash64(normal_line(x)))), "\n")
-    return joined.select(*[F.when(F.col("k.__common").isNotNull(), less).otherwise(text).alias(c) if c == text_col else F.col(f"d.{c}") for c in df.columns])
+    kept = common.cut(judge(df, id_col, text_col, host_col, **limits)).where("kept")
+    kept = kept.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), F.when(F.col("n_common_words") > 0, F.col("common")).alias(lines)).dropDuplicates([id_, hash_])
+    own = df.withColumn(id_, F.col(id_col).cast("long")).withColumn(hash_, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    joined = own.alias("d").join(kept.alias("k"), F.col(f"d.{id_}").eqNullSafe(F.col(f"k.{id_}")) & (F.col(f"d.{hash_}") == F.col(f"k.{hash_}")))
+    text, listed = F.col(f"d.`{text_col}`"), F.col(f"k.{lines}")
+    less = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(listed, F.xxhash64(normal_line(x)))), "\n")
+    return joined.select(*[F.when(listed.isNotNull(), less).otherwise(text).alias(c) if c == text_col else F.col(f"d.`{c}`") for c in df.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

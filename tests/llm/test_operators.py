@@ -408,3 +408,25 @@ def test_empty_tables(spark, name):
 
 def test_empty_vectors(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_rules_clashing_names_and_hot_hosts(spark):
+    rng = random.Random(12)
+    text = [sentence(rng, 60) for _ in range(61)]
+    shared = "Share this page with your friends"
+    rows = [(k, f"{text[k]}\n{shared}", "h" if k % 3 else f"host{k}", "mine", "my", 5) for k in range(60)] + [(None, text[60], None, "mine", "my", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, id string, `my col` string, __id int")
+    cleaned = rules.clean(df)
+    assert cleaned.columns == df.columns
+    got = {r.doc_id: r for r in cleaned.collect()}
+    assert len(got) == 61 and {(r.id, r["my col"], r["__id"]) for r in got.values()} == {("mine", "my", 5)}
+    assert all((shared in r.text) == (r.source != "h") for k, r in got.items() if k is not None)
+
+
+def test_lookup_of_hot_keys(spark):
+    rows = spark.createDataFrame([(k if k % 3 else 7, k) for k in range(3000)] + [(None, 1)] * 40, "a long, b long")
+    table = spark.createDataFrame([(k, str(k)) for k in range(0, 3000, 2)] + [(7, "seven")], "a long, c string")
+    from canopy.llm import common
+
+    got = sorted(((r.a, r.b, r.c) for r in common.lookup(rows, table, "a").collect()), key=str)
+    assert got == sorted(((r.a, r.b, r.c) for r in rows.join(table, "a", "left").collect()), key=str)

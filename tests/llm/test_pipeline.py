@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 
 DATA = "/root/testdata/sf0.001"
@@ -36,3 +38,16 @@ def test_stages(spark, tmp_path):
         windows.update(own)
     assert not any("@mail" in r.text for r in kept[3].values())
     assert set(kept[4]) == set(kept[3])
+
+
+def test_awkward_rows(spark):
+    rows = [(1, "t one two three four five six", "a"), (1, "t one two three four five six", "b"), (2, "T one two three four five six", "a"), (None, "t one two three four five six", "a"), (1, "quite another text of more than five words", "a")]
+    rows += [(3, None, "a"), (3, "", "a"), (4, " ", None), (4, " ", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `my col` string").withColumn("row", F.lit("mine")).withColumn("__id", F.lit(7))
+    kept = corpus_pipeline.near_duplicates(spark, docs, DATA)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert got == sorted([(1, rows[0][1]), (1, rows[4][1]), (3, None), (3, ""), (4, " "), (4, " ")], key=str)
+    cut = corpus_pipeline.repeated_passages(spark, docs, DATA)
+    assert cut.columns == docs.columns and cut.count() == len(rows)
+    assert {r["my col"] for r in cut.collect()} == {"a", "b", None}
