@@ -14,129 +14,120 @@ from canopy.sources import parse, trees
 C, D = "compat", "denotational"
 
 
-def _value(alias: str) -> str:
-    return f"{alias}.kind || ':' || coalesce({alias}.text, '')"
+# The SQL reads the tables themselves, not nodes: each step of a query is a join of the tables that its tree is made of,
+# and a value is its kind and text. So it owes nothing to the trees, and every join is one on plain keys.
 
 
-def _nodes(alias: str, base: str | None = None, kind: str | None = None, field: str | None = None, deep: bool = False, join: str = "JOIN") -> str:
-    """A FROM item: the root, or nodes below `base`."""
-    if base is None:
-        return f"FROM nodes {alias}"
-    on = f"{alias}.doc_id = {base}.doc_id AND " + (f"{alias}.node_id > {base}.node_id AND {alias}.node_id <= {base}.last_desc" if deep else f"{alias}.parent_id = {base}.node_id")
-    on += f" AND {alias}.kind = '{kind}'" * bool(kind) + f" AND {alias}.field = '{field}'" * bool(field)
-    return f"{join} nodes {alias} ON {on}"
+def _v(kind: str, column: str = "''") -> str:
+    return f"'{kind}:' || coalesce({column}, '')"
 
 
-def _below(alias: str, base: str, **test) -> str:
-    """An EXISTS body over nodes below base."""
-    return "SELECT 1 FROM nodes " + alias + " WHERE " + _nodes(alias, base, **test).split(" ON ", 1)[1]
+def _sql(root: str, value: str, *items: str, where: str = "TRUE") -> str:
+    doc, table = root.split(" of ")
+    return f"SELECT CAST({doc} AS BIGINT) AS doc_id, {value} AS value FROM {table} {' '.join(items)} WHERE {where}"
 
 
-R = "FROM nodes r"
-L = _nodes("l", "r", kind="lineitem")
-ROOT = "r.parent_id IS NULL"
-FLAG, QTY, STATUS_LINE = (_nodes(a, "l", field=f) for a, f in (("f", "flag"), ("q", "qty"), ("s", "linestatus")))
-STATUS, PRIORITY = _nodes("st", "r", field="status"), _nodes("pr", "r", field="priority")
-TURN, ROLE, CONTENT = _nodes("t", "r", kind="turn"), _nodes("ro", "t", field="role"), _nodes("c", "t", field="content")
+def _listed(name: str, key: str, value: str, order: str, table: str, where: str = "TRUE") -> str:
+    """(key, xs): values by key in order, as one text."""
+    return f"LEFT JOIN (SELECT {key}, string_agg({value}, '|' ORDER BY {order}) AS xs FROM {table} WHERE {where} GROUP BY {key}) {name} ON {name}.{key}"
 
 
-def _sql(value: str, *items: str, where: str = "TRUE", more: str = "") -> str:
-    return f"SELECT CAST(r.doc_id AS BIGINT) AS doc_id, {value} AS value {R} {' '.join(items)} WHERE {ROOT} AND ({where}) {more}"
+def _record(**values: str) -> str:
+    return "'{' || " + " || ';' || ".join(f"'{k}=' || {v}" for k, v in sorted(values.items())) + " || '}'"
 
 
-def _list(alias: str, items: str, where: str, order: str) -> str:
-    return f"'[' || coalesce((SELECT string_agg({_value(alias)}, '|' ORDER BY {order}) FROM nodes {items} WHERE {where}), '') || ']'"
+ORDER, REGION, TURN, EVENT = "r.o_orderkey of orders r", "r.r_regionkey of region r", "t.conv_id of conversations t", "e.user_id of events e"
+LINE = "JOIN lineitem l ON l.l_orderkey = r.o_orderkey"
+LINE_ORDER = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag, l_linestatus"
+NATION, CUSTOMER = "JOIN nation n ON n.n_regionkey = r.r_regionkey", "JOIN customer c ON c.c_nationkey = n.n_nationkey"
+QTY_TEXT = "CAST(CAST(l_quantity AS BIGINT) AS VARCHAR)"
+LINE_V, FLAG_V, LINESTATUS_V, QTY_V = _v("lineitem"), _v("return_flag", "l_returnflag"), _v("line_status", "l_linestatus"), _v("quantity", QTY_TEXT)
+STATUS_V, PRIORITY_V = _v("order_status", "r.o_orderstatus"), _v("order_priority", "r.o_orderpriority")
+REGION_V, NATION_V, CUSTOMER_V, SEGMENT_V = _v("region_name", "r.r_name"), _v("nation_name", "n_name"), _v("customer_name", "c_name"), _v("segment", "c_mktsegment")
+ALL_QTY, ALL_QTY_V = _listed("q", "l_orderkey", QTY_V, LINE_ORDER, "lineitem") + " = r.o_orderkey", "'[' || coalesce(q.xs, '') || ']'"
+RETURNED, RETURNED_V = _listed("q", "l_orderkey", QTY_V, LINE_ORDER, "lineitem", "l_returnflag = 'R'") + " = r.o_orderkey", "'[' || coalesce(q.xs, '') || ']'"
 
 
-_QTY_OF_L = "(SELECT " + _value("q") + " FROM nodes q WHERE q.doc_id = l.doc_id AND q.parent_id = l.node_id AND q.field = 'qty')"
-_LINES_LIST = _list("q", "l2 JOIN nodes q ON q.doc_id = l2.doc_id AND q.parent_id = l2.node_id AND q.field = 'qty'", "l2.doc_id = r.doc_id AND l2.parent_id = r.node_id AND l2.kind = 'lineitem'", "l2.node_id")
-_HIT_R = _below("x", "r", kind="lineitem") + " AND EXISTS (" + _below("y", "x", field="flag") + " AND y.text = 'R')"
-_MISS_R = _below("x", "r", kind="lineitem") + " AND EXISTS (" + _below("y", "x", field="flag") + " AND y.text <> 'R')"
+def _with_line(test: str = "TRUE") -> str:
+    """Whether the order has a line that passes the test."""
+    return f"r.o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_orderkey IS NOT NULL AND {test})"
+
 
 #: name: (tree, query, SQL after the tree's WITH items, semantics).
 QUERIES: dict[str, tuple[str, str, str, str]] = {
-    "kind_test": ("order_tree", "with order as @o select @o", _sql(_value("r"), where="r.kind = 'order'"), C),
-    "child_axis": ("order_tree", "with @root > lineitem as @l select @l", _sql(_value("l"), L), C),
-    "field_axis": ("order_tree", "with @root > lineitem as @l where @l.flag = 'R' select @l.qty", _sql(_value("q"), L, FLAG, QTY, where="f.text = 'R'"), C),
-    "field_multi": ("order_tree", "with @root > lineitem as @l select {flag: @l.flag, qty: @l.qty, status: @l.linestatus}", _sql(f"'{{flag=' || {_value('f')} || ';qty=' || {_value('q')} || ';status=' || {_value('s')} || '}}'", L, FLAG, QTY, STATUS_LINE), C),
-    "descendant_axis": ("order_tree", "with @root >> quantity as @q select @q", _sql(_value("q"), _nodes("q", "r", kind="quantity", deep=True)), C),
-    "descendant_synonym": ("order_tree", "with @root descendant::quantity as @q select @q", _sql(_value("q"), _nodes("q", "r", kind="quantity", deep=True)), C),
-    "descendant_then_child": ("geo_tree", "with @root >> nation as @n, @n > customer as @c select @c.segment", _sql(_value("s"), _nodes("n", "r", kind="nation", deep=True), _nodes("c", "n", kind="customer"), _nodes("s", "c", field="segment")), C),
-    "nav_chain": ("geo_tree", "with @root > nation > customer as @c select @c.name", _sql(_value("s"), _nodes("n", "r", kind="nation"), _nodes("c", "n", kind="customer"), _nodes("s", "c", field="name")), C),
-    "nav_parenthesised": ("geo_tree", "with (@root > nation) > customer as @c select (@c.name)", _sql(_value("s"), _nodes("n", "r", kind="nation"), _nodes("c", "n", kind="customer"), _nodes("s", "c", field="name")), C),
-    "field_after_child": ("geo_tree", "with @root > nation.name as @n select @n", _sql(_value("s"), _nodes("n", "r", kind="nation"), _nodes("s", "n", field="name")), C),
-    "variable_alias": ("order_tree", "with @root > lineitem as @l, @l as @m select @m.qty", _sql(_value("q"), L, QTY), C),
-    "multi_binding_fanout": ("order_tree", "with @root > lineitem as @a, @root > lineitem as @b where @a.flag = 'R' select {a: @a.qty, b: @b.flag}", _sql(f"'{{a=' || {_value('q')} || ';b=' || {_value('g')} || '}}'", L, FLAG, QTY, _nodes("m", "r", kind="lineitem"), _nodes("g", "m", field="flag"), where="f.text = 'R'"), C),
-    "lazy_unreferenced_binding": ("order_tree", "with @root > lineitem as @l, @root.status as @s select @s", _sql(_value("st"), STATUS), C),
-    "eager_unreferenced_binding": ("order_tree", "with @root > lineitem as @l, @root.status as @s select @s", _sql(_value("st"), L, STATUS), D),
-    "where_eq_text": ("order_tree", "with @root.status as @s where @s = 'F' select @root.priority", _sql(_value("pr"), STATUS, PRIORITY, where="st.text = 'F'"), C),
-    "where_ne_text_compat": ("order_tree", "with @root.status as @s where @s != 'F' select @s", _sql(_value("st"), STATUS, where="st.text = 'F'"), C),
-    "where_ne_text_denotational": ("order_tree", "with @root.status as @s where @s != 'F' select @s", _sql(_value("st"), STATUS, where="st.text <> 'F'"), D),
-    "where_regex": ("order_tree", "with @root.priority as @p where @p ~ /^[12]-/ select @p", _sql(_value("pr"), PRIORITY, where="regexp_matches(pr.text, '^[12]-')"), C),
-    "where_not_regex": ("order_tree", "with @root.priority as @p where @p !~ /URGENT/ select @p", _sql(_value("pr"), PRIORITY, where="NOT regexp_matches(pr.text, 'URGENT')"), C),
-    "where_node_identity": ("order_tree", "with @root > lineitem as @a, @root > lineitem as @b where @a = @b select @a.qty", _sql(_value("q"), L, QTY), C),
-    "where_node_difference": ("order_tree", "with @root > lineitem as @a, @root > lineitem as @b where @a != @b select @b.flag", _sql(_value("g"), L, _nodes("m", "r", kind="lineitem"), _nodes("g", "m", field="flag"), where="l.node_id <> m.node_id"), C),
-    "where_eq_null": ("order_tree", "with @root.status as @s where @s = null select @s", _sql(_value("st"), STATUS, where="FALSE"), C),
-    "where_ne_null": ("order_tree", "with @root.status as @s where @s != null select @s", _sql(_value("st"), STATUS), C),
-    "where_is_null": ("order_tree", "with order as @o where @o > lineitem is null select @o.status", _sql(_value("st"), STATUS, where=f"NOT EXISTS ({_below('x', 'r', kind='lineitem')})"), C),
-    "where_is_not_null": ("order_tree", "with order as @o where @o > lineitem is not null select @o.status", _sql(_value("st"), STATUS, where=f"EXISTS ({_below('x', 'r', kind='lineitem')})"), C),
-    "where_and": ("order_tree", "with @root > lineitem as @l where @l.flag = 'R' and @l.linestatus = 'F' select @l.qty", _sql(_value("q"), L, FLAG, STATUS_LINE, QTY, where="f.text = 'R' AND s.text = 'F'"), C),
-    "where_or": ("order_tree", "with @root.status as @s where @s = 'F' or @s = 'P' select @s", _sql(_value("st"), STATUS, where="st.text IN ('F', 'P')"), C),
-    "where_or_lifted": ("order_tree", "with @root > lineitem as @l where @l.flag = 'R' or @l.linestatus = 'O' select @l.qty", _sql(_value("q"), L, FLAG, STATUS_LINE, QTY, where="f.text = 'R' OR s.text = 'O'"), C),
-    "where_not": ("order_tree", "with @root.status as @s where not @s = 'F' select @s", _sql(_value("st"), STATUS, where="st.text <> 'F'"), C),
-    "where_not_grouped": ("order_tree", "with @root.status as @s, @root.priority as @p where not (@s = 'F' or @p ~ /URGENT/) select {p: @p, s: @s}", _sql(f"'{{p=' || {_value('pr')} || ';s=' || {_value('st')} || '}}'", STATUS, PRIORITY, where="NOT (st.text = 'F' OR regexp_matches(pr.text, 'URGENT'))"), C),
-    "any_quantifier": ("order_tree", "with @root.status as @s where any @l in @root > lineitem: @l.flag = 'R' select @s", _sql(_value("st"), STATUS, where=f"EXISTS ({_HIT_R})"), C),
-    "all_quantifier": ("order_tree", "with @root.status as @s where all @l in @root > lineitem: @l.flag = 'R' select @s", _sql(_value("st"), STATUS, where=f"NOT EXISTS ({_MISS_R})"), C),
-    "all_vacuous": ("order_tree", "with order as @o where all @l in @o > lineitem: @l.flag = 'none' select @o.status", _sql(_value("st"), STATUS, where=f"NOT EXISTS ({_below('x', 'r', kind='lineitem')})"), C),
-    "not_any": ("order_tree", "with @root.status as @s where not any @l in @root > lineitem: @l.flag = 'R' select @s", _sql(_value("st"), STATUS, where=f"NOT EXISTS ({_HIT_R})"), C),
-    "not_all": ("order_tree", "with @root.status as @s where not all @l in @root > lineitem: @l.flag = 'R' select @s", _sql(_value("st"), STATUS, where=f"EXISTS ({_MISS_R})"), C),
-    "nested_any": ("order_tree", "with @root.priority as @p where any @a in @root > lineitem: any @b in @a.flag: @b = 'N' select @p", _sql(_value("pr"), PRIORITY, where="EXISTS (" + _below("x", "r", kind="lineitem") + " AND EXISTS (" + _below("y", "x", field="flag") + " AND y.text = 'N'))"), C),
-    "nested_any_correlated": ("order_tree", "with @root > lineitem as @l where @l != null and any @m in @root > lineitem: any @q in @m.qty: @m = @l and @q = '50' select @l.flag", _sql(_value("f"), L, FLAG, QTY, where="q.text = '50'"), C),
-    "any_descendant_source": ("order_tree", "with @root.status as @s where any @q in @root >> quantity: @q = '50' select @s", _sql(_value("st"), STATUS, where="EXISTS (" + _below("x", "r", kind="quantity", deep=True) + " AND x.text = '50')"), C),
-    "any_or_inside": ("order_tree", "with @root.status as @s where any @q in @root >> quantity: @q = '50' or @q = '49' select @s", _sql(_value("st"), STATUS, where="EXISTS (" + _below("x", "r", kind="quantity", deep=True) + " AND x.text IN ('49', '50'))"), C),
-    "where_nav_fanout_duplicates": ("order_tree", "with @root.status as @s where (@root >> quantity) != null select @s", _sql(_value("st"), STATUS, _nodes("q", "r", kind="quantity", deep=True)), C),
-    "or_branch_death": ("order_tree", "with @root.status as @s where @root > lineitem = 'x' or @s = 'F' select @s", _sql(_value("st"), STATUS, L, where="st.text = 'F'"), C),
-    "forced_in_probe_reads_nothing": ("order_tree", "with @root.status as @s where any @l in @root > lineitem: @l.flag = 'R' or @s = 'F' select @s", _sql("'null'", STATUS, where=f"EXISTS ({_below('x', 'r', kind='lineitem')} AND EXISTS ({_below('y', 'x', field='flag')} AND (y.text = 'R' OR st.text = 'F')))"), C),
-    "any_or_branch_death": ("order_tree", "with @root.status as @s where @s != null and any @l in @root > lineitem: @l.flag = 'R' or @s = 'F' select @s", _sql(_value("st"), STATUS, where=f"EXISTS ({_below('x', 'r', kind='lineitem')} AND EXISTS ({_below('y', 'x', field='flag')} AND (y.text = 'R' OR st.text = 'F')))"), C),
-    "not_any_denotational": ("order_tree", "with @root.status as @s where not (any @l in @root > lineitem: @l.flag = 'R') select @s", _sql(_value("st"), STATUS, where=f"NOT EXISTS ({_HIT_R})"), D),
-    "select_literal": ("order_tree", "with @root.status as @s where @s = 'P' select 'open'", _sql("'open'", STATUS, where="st.text = 'P'"), C),
-    "select_number": ("order_tree", "with @root > lineitem as @l where @l.flag = 'N' select 7", _sql("'7'", L, FLAG, where="f.text = 'N'"), C),
-    "select_null": ("order_tree", "with order as @o select null", _sql("'null'"), C),
-    "select_record": ("order_tree", "with @root > lineitem as @l select {of: @root.status, qty: @l.qty}", _sql(f"'{{of=' || {_value('st')} || ';qty=' || {_value('q')} || '}}'", L, STATUS, QTY), C),
-    "select_record_shorthand": ("order_tree", "with @root.status as @s, @root.priority as @p select {@s, @p}", _sql(f"'{{p=' || {_value('pr')} || ';s=' || {_value('st')} || '}}'", STATUS, PRIORITY), C),
-    "select_list": ("order_tree", "with @root.status as @s select [@s, @root.priority]", _sql(f"'(' || {_value('st')} || '|' || {_value('pr')} || ')'", STATUS, PRIORITY), C),
-    "select_tuple": ("order_tree", "with @root > lineitem as @l select ('line', 1, @l.flag)", _sql(f"'(line|1|' || {_value('f')} || ')'", L, FLAG), C),
-    "select_nested_constructor": ("order_tree", "with @root > lineitem as @l select {head: [@root.status, null], tail: {qty: @l.qty}}", _sql(f"'{{head=(' || {_value('st')} || '|null);tail={{qty=' || {_value('q')} || '}}}}'", L, STATUS, QTY), C),
-    "select_navigation": ("conv_tree", "select @root > turn", _sql(_value("t"), TURN), C),
-    "subquery_select_list": ("order_tree", "select (select @root > lineitem.qty)", _sql(_LINES_LIST), C),
-    "subquery_correlated_list": ("geo_tree", "with @root > nation as @n select {name: @n.name, segments: (select @n > customer.segment)}", _sql(f"'{{name=' || {_value('m')} || ';segments=' || {_list('s', 'c JOIN nodes s ON s.doc_id = c.doc_id AND s.parent_id = c.node_id AND s.field = ' + chr(39) + 'segment' + chr(39), 'c.doc_id = n.doc_id AND c.parent_id = n.node_id AND c.kind = ' + chr(39) + 'customer' + chr(39), 'c.node_id')} || '}}'", _nodes("n", "r", kind="nation"), _nodes("m", "n", field="name")), C),
-    "subquery_binding_list": ("order_tree", "with @root.status as @s, select @root > lineitem.qty as @all select {s: @s, all: @all}", _sql(f"'{{all=' || {_LINES_LIST} || ';s=' || {_value('st')} || '}}'", STATUS), C),
-    "subquery_with_where": ("order_tree", "with @root.status as @s select {s: @s, r: (with @root > lineitem as @l where @l.flag = 'R' select @l.qty)}", _sql("'{r=' || " + _list("q", "l2 JOIN nodes f ON f.doc_id = l2.doc_id AND f.parent_id = l2.node_id AND f.field = 'flag' AND f.text = 'R' JOIN nodes q ON q.doc_id = l2.doc_id AND q.parent_id = l2.node_id AND q.field = 'qty'", "l2.doc_id = r.doc_id AND l2.parent_id = r.node_id AND l2.kind = 'lineitem'", "l2.node_id") + f" || ';s=' || {_value('st')} || '}}'", STATUS), C),
-    "subquery_empty": ("order_tree", "with @root.status as @s select {s: @s, none: (select @root > nothing_here)}", _sql(f"'{{none=[];s=' || {_value('st')} || '}}'", STATUS), C),
-    "subquery_forced_inside": ("order_tree", "with @root > lineitem as @l select (select @l.qty)", _sql(_LINES_LIST), C),
-    "nested_subquery": ("geo_tree", "with @root.name as @n select {n: @n, nations: (with @root > nation as @x where @x.name ~ /^[A-C]/ select {name: @x.name, firsts: (with @x > customer as @c where @c.segment = 'BUILDING' select @c.name)})}", "", C),
-    "unnest_fanout": ("order_tree", "with @root.status as @s, unnest(select @root > lineitem.qty) as @q select {s: @s, q: @q}", _sql(f"'{{q=' || {_value('q')} || ';s=' || {_value('st')} || '}}'", STATUS, L, QTY), C),
-    "unnest_empty_drops": ("order_tree", "with @root.status as @s, unnest(select @root > nothing_here) as @q select {s: @s, q: @q}", _sql(_value("st"), STATUS, where="FALSE"), C),
-    "scope_shadowing": ("order_tree", "with @root.status as @x, unnest(with @root.priority as @x select @x) as @inner select {inner: @inner, outer: @x}", _sql(f"'{{inner=' || {_value('pr')} || ';outer=' || {_value('st')} || '}}'", STATUS, PRIORITY), C),
-    "optional_compat": ("order_tree", "with @root.nothing as @x? where @x = null select @root.status", _sql(_value("st"), STATUS, where="FALSE"), C),
-    "optional_denotational": ("order_tree", "with @root > lineitem as @l? where @l = null select @root.status", _sql(_value("st"), STATUS, where=f"NOT EXISTS ({_below('x', 'r', kind='lineitem')})"), D),
-    "numeric_lt_gt": ("order_tree", "with @root.status as @s where 1 < 2 and 3 > 2 select @s", _sql(_value("st"), STATUS), C),
-    "numeric_text_denotational": ("order_tree", "with @root >> quantity as @q where @q >= 49 select @q", _sql(_value("q"), _nodes("q", "r", kind="quantity", deep=True), where="TRY_CAST(q.text AS BIGINT) >= 49"), D),
-    "named_query_denotational": ("order_tree", "query lines(@x: order): Array<lineitem> { select @root > lineitem } with lines() as @l select @l.qty", _sql(_value("q"), L, QTY), D),
-    "named_query_compat": ("order_tree", "query flags { with @root > lineitem as @l select @l.flag }", _sql(_value("f"), L, FLAG), C),
-    "conversation_roles": ("conv_tree", "with @root > turn as @t where @t.role = 'user' select @t.content", _sql(_value("c"), TURN, ROLE, CONTENT, where="ro.text = 'user'"), C),
-    "user_events": ("user_tree", "with @root > event as @e where @e.type ~ /^(click|purchase)$/ select @e.type", _sql(_value("t"), _nodes("e", "r", kind="event"), _nodes("t", "e", field="type"), where="regexp_matches(t.text, '^(click|purchase)$')"), C),
-    "document_lines": ("doc_tree", "with @root > line as @l, @root.lang as @g where @g = 'en' and @l ~ /of the/ select @l", _sql(_value("l"), _nodes("l", "r", kind="line"), _nodes("g", "r", field="lang"), where="g.text = 'en' AND regexp_matches(l.text, 'of the')"), C),
+    "kind_test": ("order_tree", "with order as @o select @o", _sql(ORDER, _v("order")), C),
+    "child_axis": ("order_tree", "with @root > lineitem as @l select @l", _sql(ORDER, LINE_V, LINE), C),
+    "field_axis": ("order_tree", "with @root > lineitem as @l where @l.flag = 'R' select @l.qty", _sql(ORDER, QTY_V, LINE, where="l_returnflag = 'R'"), C),
+    "field_multi": ("order_tree", "with @root > lineitem as @l select {flag: @l.flag, qty: @l.qty, status: @l.linestatus}", _sql(ORDER, _record(flag=FLAG_V, qty=QTY_V, status=LINESTATUS_V), LINE), C),
+    "descendant_axis": ("order_tree", "with @root >> quantity as @q select @q", _sql(ORDER, QTY_V, LINE), C),
+    "descendant_synonym": ("order_tree", "with @root descendant::quantity as @q select @q", _sql(ORDER, QTY_V, LINE), C),
+    "descendant_then_child": ("geo_tree", "with @root >> nation as @n, @n > customer as @c select @c.segment", _sql(REGION, SEGMENT_V, NATION, CUSTOMER), C),
+    "nav_chain": ("geo_tree", "with @root > nation > customer as @c select @c.name", _sql(REGION, CUSTOMER_V, NATION, CUSTOMER), C),
+    "nav_parenthesised": ("geo_tree", "with (@root > nation) > customer as @c select (@c.name)", _sql(REGION, CUSTOMER_V, NATION, CUSTOMER), C),
+    "field_after_child": ("geo_tree", "with @root > nation.name as @n select @n", _sql(REGION, NATION_V, NATION), C),
+    "variable_alias": ("order_tree", "with @root > lineitem as @l, @l as @m select @m.qty", _sql(ORDER, QTY_V, LINE), C),
+    "multi_binding_fanout": ("order_tree", "with @root > lineitem as @a, @root > lineitem as @b where @a.flag = 'R' select {a: @a.qty, b: @b.flag}", _sql(ORDER, _record(a=_v("quantity", QTY_TEXT.replace("l_q", "l.l_q")), b=_v("return_flag", "m.l_returnflag")), LINE, "JOIN lineitem m ON m.l_orderkey = l.l_orderkey", where="l.l_returnflag = 'R'"), C),
+    "lazy_unreferenced_binding": ("order_tree", "with @root > lineitem as @l, @root.status as @s select @s", _sql(ORDER, STATUS_V), C),
+    "eager_unreferenced_binding": ("order_tree", "with @root > lineitem as @l, @root.status as @s select @s", _sql(ORDER, STATUS_V, LINE), D),
+    "where_eq_text": ("order_tree", "with @root.status as @s where @s = 'F' select @root.priority", _sql(ORDER, PRIORITY_V, where="r.o_orderstatus = 'F'"), C),
+    "where_ne_text_compat": ("order_tree", "with @root.status as @s where @s != 'F' select @s", _sql(ORDER, STATUS_V, where="r.o_orderstatus = 'F'"), C),
+    "where_ne_text_denotational": ("order_tree", "with @root.status as @s where @s != 'F' select @s", _sql(ORDER, STATUS_V, where="r.o_orderstatus <> 'F'"), D),
+    "where_regex": ("order_tree", "with @root.priority as @p where @p ~ /^[12]-/ select @p", _sql(ORDER, PRIORITY_V, where="regexp_matches(r.o_orderpriority, '^[12]-')"), C),
+    "where_not_regex": ("order_tree", "with @root.priority as @p where @p !~ /URGENT/ select @p", _sql(ORDER, PRIORITY_V, where="NOT regexp_matches(r.o_orderpriority, 'URGENT')"), C),
+    "where_node_identity": ("order_tree", "with @root > lineitem as @a, @root > lineitem as @b where @a = @b select @a.qty", _sql(ORDER, QTY_V, LINE), C),
+    "where_node_difference": ("order_tree", "with @root > lineitem as @a, @root > lineitem as @b where @a != @b select @b.flag", "SELECT doc_id, value FROM (" + _sql(ORDER, FLAG_V + " AS value, unnest(range(k.n - 1))", LINE, "JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) k ON k.l_orderkey = l.l_orderkey").replace(" AS value FROM", " AS i FROM") + ") x", C),
+    "where_eq_null": ("order_tree", "with @root.status as @s where @s = null select @s", _sql(ORDER, STATUS_V, where="FALSE"), C),
+    "where_ne_null": ("order_tree", "with @root.status as @s where @s != null select @s", _sql(ORDER, STATUS_V), C),
+    "where_is_null": ("order_tree", "with order as @o where @o > lineitem is null select @o.status", _sql(ORDER, STATUS_V, where="NOT " + _with_line()), C),
+    "where_is_not_null": ("order_tree", "with order as @o where @o > lineitem is not null select @o.status", _sql(ORDER, STATUS_V, where=_with_line()), C),
+    "where_and": ("order_tree", "with @root > lineitem as @l where @l.flag = 'R' and @l.linestatus = 'F' select @l.qty", _sql(ORDER, QTY_V, LINE, where="l_returnflag = 'R' AND l_linestatus = 'F'"), C),
+    "where_or": ("order_tree", "with @root.status as @s where @s = 'F' or @s = 'P' select @s", _sql(ORDER, STATUS_V, where="r.o_orderstatus IN ('F', 'P')"), C),
+    "where_or_lifted": ("order_tree", "with @root > lineitem as @l where @l.flag = 'R' or @l.linestatus = 'O' select @l.qty", _sql(ORDER, QTY_V, LINE, where="l_returnflag = 'R' OR l_linestatus = 'O'"), C),
+    "where_not": ("order_tree", "with @root.status as @s where not @s = 'F' select @s", _sql(ORDER, STATUS_V, where="r.o_orderstatus <> 'F'"), C),
+    "where_not_grouped": ("order_tree", "with @root.status as @s, @root.priority as @p where not (@s = 'F' or @p ~ /URGENT/) select {p: @p, s: @s}", _sql(ORDER, _record(p=PRIORITY_V, s=STATUS_V), where="NOT (r.o_orderstatus = 'F' OR regexp_matches(r.o_orderpriority, 'URGENT'))"), C),
+    "any_quantifier": ("order_tree", "with @root.status as @s where any @l in @root > lineitem: @l.flag = 'R' select @s", _sql(ORDER, STATUS_V, where=_with_line("l_returnflag = 'R'")), C),
+    "all_quantifier": ("order_tree", "with @root.status as @s where all @l in @root > lineitem: @l.flag = 'R' select @s", _sql(ORDER, STATUS_V, where="NOT " + _with_line("l_returnflag <> 'R'")), C),
+    "all_vacuous": ("order_tree", "with order as @o where all @l in @o > lineitem: @l.flag = 'none' select @o.status", _sql(ORDER, STATUS_V, where="NOT " + _with_line()), C),
+    "not_any": ("order_tree", "with @root.status as @s where not any @l in @root > lineitem: @l.flag = 'R' select @s", _sql(ORDER, STATUS_V, where="NOT " + _with_line("l_returnflag = 'R'")), C),
+    "not_all": ("order_tree", "with @root.status as @s where not all @l in @root > lineitem: @l.flag = 'R' select @s", _sql(ORDER, STATUS_V, where=_with_line("l_returnflag <> 'R'")), C),
+    "nested_any": ("order_tree", "with @root.priority as @p where any @a in @root > lineitem: any @b in @a.flag: @b = 'N' select @p", _sql(ORDER, PRIORITY_V, where=_with_line("l_returnflag = 'N'")), C),
+    "nested_any_correlated": ("order_tree", "with @root > lineitem as @l where @l != null and any @m in @root > lineitem: any @q in @m.qty: @m = @l and @q = '50' select @l.flag", _sql(ORDER, FLAG_V, LINE, where="l_quantity = 50"), C),
+    "any_descendant_source": ("order_tree", "with @root.status as @s where any @q in @root >> quantity: @q = '50' select @s", _sql(ORDER, STATUS_V, where=_with_line("l_quantity = 50")), C),
+    "any_or_inside": ("order_tree", "with @root.status as @s where any @q in @root >> quantity: @q = '50' or @q = '49' select @s", _sql(ORDER, STATUS_V, where=_with_line("l_quantity IN (49, 50)")), C),
+    "where_nav_fanout_duplicates": ("order_tree", "with @root.status as @s where (@root >> quantity) != null select @s", _sql(ORDER, STATUS_V, LINE), C),
+    "or_branch_death": ("order_tree", "with @root.status as @s where @root > lineitem = 'x' or @s = 'F' select @s", _sql(ORDER, STATUS_V, LINE, where="r.o_orderstatus = 'F'"), C),
+    "forced_in_probe_reads_nothing": ("order_tree", "with @root.status as @s where any @l in @root > lineitem: @l.flag = 'R' or @s = 'F' select @s", _sql(ORDER, "'null'", where=_with_line("l_returnflag = 'R'") + " OR r.o_orderstatus = 'F' AND " + _with_line()), C),
+    "any_or_branch_death": ("order_tree", "with @root.status as @s where @s != null and any @l in @root > lineitem: @l.flag = 'R' or @s = 'F' select @s", _sql(ORDER, STATUS_V, where=_with_line("l_returnflag = 'R'") + " OR r.o_orderstatus = 'F' AND " + _with_line()), C),
+    "not_any_denotational": ("order_tree", "with @root.status as @s where not (any @l in @root > lineitem: @l.flag = 'R') select @s", _sql(ORDER, STATUS_V, where="NOT " + _with_line("l_returnflag = 'R'")), D),
+    "select_literal": ("order_tree", "with @root.status as @s where @s = 'P' select 'open'", _sql(ORDER, "'open'", where="r.o_orderstatus = 'P'"), C),
+    "select_number": ("order_tree", "with @root > lineitem as @l where @l.flag = 'N' select 7", _sql(ORDER, "'7'", LINE, where="l_returnflag = 'N'"), C),
+    "select_null": ("order_tree", "with order as @o select null", _sql(ORDER, "'null'"), C),
+    "select_record": ("order_tree", "with @root > lineitem as @l select {of: @root.status, qty: @l.qty}", _sql(ORDER, _record(of=STATUS_V, qty=QTY_V), LINE), C),
+    "select_record_shorthand": ("order_tree", "with @root.status as @s, @root.priority as @p select {@s, @p}", _sql(ORDER, _record(p=PRIORITY_V, s=STATUS_V)), C),
+    "select_list": ("order_tree", "with @root.status as @s select [@s, @root.priority]", _sql(ORDER, f"'(' || {STATUS_V} || '|' || {PRIORITY_V} || ')'"), C),
+    "select_tuple": ("order_tree", "with @root > lineitem as @l select ('line', 1, @l.flag)", _sql(ORDER, f"'(line|1|' || {FLAG_V} || ')'", LINE), C),
+    "select_nested_constructor": ("order_tree", "with @root > lineitem as @l select {head: [@root.status, null], tail: {qty: @l.qty}}", _sql(ORDER, _record(head=f"'(' || {STATUS_V} || '|null)'", tail=_record(qty=QTY_V)), LINE), C),
+    "select_navigation": ("conv_tree", "select @root > turn", _sql(TURN, _v("turn")), C),
+    "subquery_select_list": ("order_tree", "select (select @root > lineitem.qty)", _sql(ORDER, ALL_QTY_V, ALL_QTY), C),
+    "subquery_correlated_list": ("geo_tree", "with @root > nation as @n select {name: @n.name, segments: (select @n > customer.segment)}", _sql(REGION, _record(name=NATION_V, segments="'[' || coalesce(s.xs, '') || ']'"), NATION, _listed("s", "c_nationkey", SEGMENT_V, "c_custkey", "customer") + " = n.n_nationkey"), C),
+    "subquery_binding_list": ("order_tree", "with @root.status as @s, select @root > lineitem.qty as @all select {s: @s, all: @all}", _sql(ORDER, _record(all=ALL_QTY_V, s=STATUS_V), ALL_QTY), C),
+    "subquery_with_where": ("order_tree", "with @root.status as @s select {s: @s, r: (with @root > lineitem as @l where @l.flag = 'R' select @l.qty)}", _sql(ORDER, _record(r=RETURNED_V, s=STATUS_V), RETURNED), C),
+    "subquery_empty": ("order_tree", "with @root.status as @s select {s: @s, none: (select @root > nothing_here)}", _sql(ORDER, _record(none="'[]'", s=STATUS_V)), C),
+    "subquery_forced_inside": ("order_tree", "with @root > lineitem as @l select (select @l.qty)", _sql(ORDER, ALL_QTY_V, ALL_QTY), C),
+    "nested_subquery": ("geo_tree", "with @root.name as @n select {n: @n, nations: (with @root > nation as @x where @x.name ~ /^[A-C]/ select {name: @x.name, firsts: (with @x > customer as @c where @c.segment = 'BUILDING' select @c.name)})}", _sql(REGION, _record(n=REGION_V, nations="'[' || coalesce(x.xs, '') || ']'"), _listed("x", "n_regionkey", _record(firsts="'[' || coalesce(f.xs, '') || ']'", name=NATION_V), "n_nationkey", "nation " + _listed("f", "c_nationkey", CUSTOMER_V, "c_custkey", "customer", "c_mktsegment = 'BUILDING'") + " = n_nationkey", "regexp_matches(n_name, '^[A-C]')") + " = r.r_regionkey"), C),
+    "unnest_fanout": ("order_tree", "with @root.status as @s, unnest(select @root > lineitem.qty) as @q select {s: @s, q: @q}", _sql(ORDER, _record(q=QTY_V, s=STATUS_V), LINE), C),
+    "unnest_empty_drops": ("order_tree", "with @root.status as @s, unnest(select @root > nothing_here) as @q select {s: @s, q: @q}", _sql(ORDER, STATUS_V, where="FALSE"), C),
+    "scope_shadowing": ("order_tree", "with @root.status as @x, unnest(with @root.priority as @x select @x) as @inner select {inner: @inner, outer: @x}", _sql(ORDER, _record(inner=PRIORITY_V, outer=STATUS_V)), C),
+    "optional_compat": ("order_tree", "with @root.nothing as @x? where @x = null select @root.status", _sql(ORDER, STATUS_V, where="FALSE"), C),
+    "optional_denotational": ("order_tree", "with @root > lineitem as @l? where @l = null select @root.status", _sql(ORDER, STATUS_V, where="NOT " + _with_line()), D),
+    "numeric_lt_gt": ("order_tree", "with @root.status as @s where 1 < 2 and 3 > 2 select @s", _sql(ORDER, STATUS_V), C),
+    "numeric_text_denotational": ("order_tree", "with @root >> quantity as @q where @q >= 49 select @q", _sql(ORDER, QTY_V, LINE, where="l_quantity >= 49"), D),
+    "named_query_denotational": ("order_tree", "query lines(@x: order): Array<lineitem> { select @root > lineitem } with lines() as @l select @l.qty", _sql(ORDER, QTY_V, LINE), D),
+    "named_query_compat": ("order_tree", "query flags { with @root > lineitem as @l select @l.flag }", _sql(ORDER, FLAG_V, LINE), C),
+    "conversation_roles": ("conv_tree", "with @root > turn as @t where @t.role = 'user' select @t.content", _sql(TURN, _v("content", "t.text"), where="t.role = 'user'"), C),
+    "user_events": ("user_tree", "with @root > event as @e where @e.type ~ /^(click|purchase)$/ select @e.type", _sql(EVENT, _v("event_type", "e.event_type"), where="regexp_matches(e.event_type, '^(click|purchase)$')"), C),
+    "document_lines": ("doc_tree", "with @root > line as @l, @root.lang as @g where @g = 'en' and @l ~ /of the/ select @l", _sql("x.doc_id of (SELECT doc_id, lang, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents) x", _v("line", "x.line"), where="x.lang = 'en' AND regexp_matches(x.line, 'of the')"), C),
 }
-_FIRSTS = _list("nm", "c JOIN nodes sg ON sg.doc_id = c.doc_id AND sg.parent_id = c.node_id AND sg.field = 'segment' AND sg.text = 'BUILDING' JOIN nodes nm ON nm.doc_id = c.doc_id AND nm.parent_id = c.node_id AND nm.field = 'name'", "c.doc_id = n.doc_id AND c.parent_id = n.node_id AND c.kind = 'customer'", "c.node_id")
-QUERIES["nested_subquery"] = (
-    *QUERIES["nested_subquery"][:2],
-    _sql(
-        f"'{{n=' || {_value('rn')} || ';nations=[' || coalesce((SELECT string_agg('{{firsts=' || {_FIRSTS} || ';name=' || {_value('m')} || '}}', '|' ORDER BY n.node_id) FROM nodes n JOIN nodes m ON m.doc_id = n.doc_id AND m.parent_id = n.node_id AND m.field = 'name' WHERE n.doc_id = r.doc_id AND n.parent_id = r.node_id AND n.kind = 'nation' AND regexp_matches(m.text, '^[A-C]')), '') || ']}}'",
-        _nodes("rn", "r", field="name"),
-    ),
-    C,
-)
 
 
 def _run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,9 +150,13 @@ def _node_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OTHERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {"json_sink": _json_sink, "page_tree_links": _page_links, "node_result_fields": _node_values}
+_POINT = '{"row":0,"column":0}'
+_LINK = r'''<a href="([^"]*)">([^<]*\S[^<]*)</a>'''
 _OTHER_SQL = {
-    "json_sink": ("conv_tree", """SELECT CAST(r.doc_id AS BIGINT) AS doc_id, '{"file":"' || r.doc_id || '","values":[' || string_agg('{"kind":"role","text":"user","start_byte":0,"end_byte":0,"start_point":{"row":0,"column":0},"end_point":{"row":0,"column":0}}', ',') || ']}' AS json FROM nodes r """ + TURN + " " + ROLE + " WHERE r.parent_id IS NULL AND ro.text = 'user' GROUP BY r.doc_id"),
-    "node_result_fields": ("conv_tree", f"SELECT CAST(r.doc_id AS BIGINT) AS doc_id, ro.kind, ro.text, 0 AS start_byte, 0 AS end_byte, 0 AS start_row, 0 AS end_column {R} {TURN} {ROLE} WHERE {ROOT}"),
+    # links of these pages have one attribute and one text, and stand in no comment or script
+    "page_tree_links": f"""SELECT CAST(page_id AS BIGINT) AS doc_id, '{{href=attribute_value:' || regexp_extract(x, '{_LINK}', 1) || ';text=text:' || regexp_extract(x, '{_LINK}', 2) || '}}' AS value FROM (SELECT page_id, unnest(regexp_extract_all(html, '{_LINK}')) AS x FROM pages) p""",
+    "json_sink": f"""SELECT CAST(conv_id AS BIGINT) AS doc_id, '{{"file":"' || conv_id || '","values":[' || string_agg('{{"kind":"role","text":"user","start_byte":0,"end_byte":0,"start_point":{_POINT},"end_point":{_POINT}}}', ',') || ']}}' AS json FROM conversations WHERE role = 'user' GROUP BY conv_id""",
+    "node_result_fields": "SELECT CAST(conv_id AS BIGINT) AS doc_id, 'role' AS kind, role AS text, 0 AS start_byte, 0 AS end_byte, 0 AS start_row, 0 AS end_column FROM conversations",
 }
 
 
@@ -170,5 +165,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {name: f"WITH {trees.TREE_SQL[tree]} {sql}" for name, (tree, _, sql, _) in QUERIES.items()}
-    return out | {name: f"WITH {trees.TREE_SQL[tree]} {sql}" for name, (tree, sql) in _OTHER_SQL.items()}
+    return {name: sql for name, (_, _, sql, _) in QUERIES.items()} | _OTHER_SQL

@@ -1,8 +1,4 @@
-"""Trees from relational tables, one row a node, ids in pre-order by rule.
-
-Each tree has a DataFrame, made with one pass over its tables, and the same nodes as SQL text
-(TREE_SQL) that other engines can run.
-"""
+"""Trees from relational tables, one row a node, ids in pre-order by rule, made with one pass over each table."""
 
 from __future__ import annotations
 
@@ -100,62 +96,3 @@ def doc_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
     head = F.array(_node(F.lit(0), None, 2 + F.size("lines"), "document"), _node(F.lit(1), 0, F.lit(1), "lang", F.col("lang"), "lang"), _node(F.lit(2), 0, F.lit(2), "source", F.col("source"), "source"))
     return _exploded(docs, F.col("doc_id"), F.concat(head, F.transform("lines", lambda x, k: _node(3 + k, 0, 3 + k, "line", x))))
-
-
-_COLUMNS = "{doc} AS doc_id, {id} AS node_id, {parent} AS parent_id, {last} AS last_desc, '{kind}' AS kind, {field} AS field, {text} AS text"
-
-
-def _sql(doc: str, id_: str, parent: str, last: str, kind: str, text: str = "''", field: str | None = None) -> str:
-    return "SELECT " + _COLUMNS.format(doc=doc, id=id_, parent=parent, last=last, kind=kind, text=text, field=f"'{field}'" if field else "NULL")
-
-
-_LINE = "3 + 4 * (k - 1)"
-_TURN = "1 + 3 * (k - 1)"
-_CUSTOMER = "pos + 2 + 3 * (k - 1)"
-
-#: WITH items that end in one named nodes.
-TREE_SQL = {
-    "order_tree": f"""
-li AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS k FROM lineitem),
-o AS (SELECT o.*, (SELECT count(*) FROM lineitem l WHERE l.l_orderkey = o.o_orderkey) AS n FROM orders o),
-nodes AS ({_sql("o_orderkey", "0", "NULL", "2 + 4 * n", "order")} FROM o
-UNION ALL {_sql("o_orderkey", "1", "0", "1", "order_status", "o_orderstatus", "status")} FROM o
-UNION ALL {_sql("o_orderkey", "2", "0", "2", "order_priority", "o_orderpriority", "priority")} FROM o
-UNION ALL {_sql("l_orderkey", _LINE, "0", f"{_LINE} + 3", "lineitem")} FROM li
-UNION ALL {_sql("l_orderkey", f"{_LINE} + 1", _LINE, f"{_LINE} + 1", "return_flag", "l_returnflag", "flag")} FROM li
-UNION ALL {_sql("l_orderkey", f"{_LINE} + 2", _LINE, f"{_LINE} + 2", "line_status", "l_linestatus", "linestatus")} FROM li
-UNION ALL {_sql("l_orderkey", f"{_LINE} + 3", _LINE, f"{_LINE} + 3", "quantity", "CAST(CAST(l_quantity AS BIGINT) AS STRING)", "qty")} FROM li)""",
-    "geo_tree": f"""
-na AS (SELECT n.*, (SELECT count(*) FROM customer c WHERE c.c_nationkey = n.n_nationkey) AS n FROM nation n),
-np AS (SELECT *, 2 + coalesce(sum(2 + 3 * n) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM na),
-rs AS (SELECT r.*, (SELECT coalesce(sum(2 + 3 * n), 0) FROM na WHERE na.n_regionkey = r.r_regionkey) AS size FROM region r),
-cu AS (SELECT c.*, np.pos, np.n_regionkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k FROM customer c JOIN np ON c_nationkey = n_nationkey),
-nodes AS ({_sql("r_regionkey", "0", "NULL", "1 + size", "region")} FROM rs
-UNION ALL {_sql("r_regionkey", "1", "0", "1", "region_name", "r_name", "name")} FROM rs
-UNION ALL {_sql("n_regionkey", "pos", "0", "pos + 1 + 3 * n", "nation")} FROM np
-UNION ALL {_sql("n_regionkey", "pos + 1", "pos", "pos + 1", "nation_name", "n_name", "name")} FROM np
-UNION ALL {_sql("n_regionkey", _CUSTOMER, "pos", f"{_CUSTOMER} + 2", "customer")} FROM cu
-UNION ALL {_sql("n_regionkey", f"{_CUSTOMER} + 1", _CUSTOMER, f"{_CUSTOMER} + 1", "customer_name", "c_name", "name")} FROM cu
-UNION ALL {_sql("n_regionkey", f"{_CUSTOMER} + 2", _CUSTOMER, f"{_CUSTOMER} + 2", "segment", "c_mktsegment", "segment")} FROM cu)""",
-    "conv_tree": f"""
-tu AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k FROM conversations),
-cs AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id),
-nodes AS ({_sql("conv_id", "0", "NULL", "3 * n", "conversation")} FROM cs
-UNION ALL {_sql("conv_id", _TURN, "0", f"{_TURN} + 2", "turn")} FROM tu
-UNION ALL {_sql("conv_id", f"{_TURN} + 1", _TURN, f"{_TURN} + 1", "role", "role", "role")} FROM tu
-UNION ALL {_sql("conv_id", f"{_TURN} + 2", _TURN, f"{_TURN} + 2", "content", "text", "content")} FROM tu)""",
-    "user_tree": f"""
-ev AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
-us AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id),
-nodes AS ({_sql("user_id", "0", "NULL", "3 * n", "user")} FROM us
-UNION ALL {_sql("user_id", _TURN, "0", f"{_TURN} + 2", "event")} FROM ev
-UNION ALL {_sql("user_id", f"{_TURN} + 1", _TURN, f"{_TURN} + 1", "event_type", "event_type", "type")} FROM ev
-UNION ALL {_sql("user_id", f"{_TURN} + 2", _TURN, f"{_TURN} + 2", "props", "props", "props")} FROM ev)""",
-    "doc_tree": f"""
-ls AS (SELECT doc_id, lang, source, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-ll AS (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS k FROM ls),
-nodes AS ({_sql("doc_id", "0", "NULL", "2 + len(ls)", "document")} FROM ls
-UNION ALL {_sql("doc_id", "1", "0", "1", "lang", "lang", "lang")} FROM ls
-UNION ALL {_sql("doc_id", "2", "0", "2", "source", "source", "source")} FROM ls
-UNION ALL {_sql("doc_id", "2 + k", "0", "2 + k", "line", "line")} FROM ll)""",
-}
