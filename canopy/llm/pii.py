@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -74,50 +75,36 @@ ALIKE |= {chr(z + i): chr((65 if i < 26 else 71) + i) for z in (0x1D400, 0x1D5A0
 
 _WORD = "|".join(SPELLED)
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
+CHANGED = frozenset([*ALIKE, *HIDDEN])
 HOMOGLYPH = re.compile("[" + re.escape("".join(ALIKE)) + HIDDEN + "]")
 DIGITS_SPELLED = re.compile(rf"(?i)\b(?:plus[\s-]+)?(?:(?:{_WORD}|[0-9])(?:[\s,-]+|(?=\b))){{6,}}")
-BRACKETED_AT = re.compile(rf"(?i)\s*{_OPEN}\s*(?:at|@)\s*{_CLOSE}\s*")
-BRACKETED_DOT = re.compile(rf"(?i)\s*{_OPEN}\s*(?:dot|\.)\s*{_CLOSE}\s*")
-SPOKEN = re.compile(r"(?i)(?<![\w.%+-])[a-z0-9][a-z0-9._%+-]*(?:\s+dot\s+[a-z0-9._%+-]+)*(?:\s+at\s+|@)[a-z0-9-]+(?:(?:\s+dot\s+|\.)[a-z0-9-]+)+(?![\w])")
-SPOKEN_IP = re.compile(r"(?i)(?<![\w.])[0-9]{1,3}(?:(?:\s+dot\s+|\.)[0-9]{1,3}){3}(?![\w.])")
+#: Without such a word DIGITS_SPELLED changes nothing.
+DIGIT_WORD = re.compile(rf"(?i)\b(?:{_WORD})\b")
+BRACKETED_AT = re.compile(rf"(?i){_OPEN}\s*(?:at|@)\s*{_CLOSE}")
+BRACKETED_DOT = re.compile(rf"(?i){_OPEN}\s*(?:dot|\.)\s*{_CLOSE}")
 SPACED_AT = re.compile(r"(?i)(?<=[a-z0-9])\s+@\s+(?=[a-z0-9])")
-BRACKETED = re.compile(rf"{_OPEN}\s*(?:[aA][tT]|[dD][oO][tT]|@|\.)\s*{_CLOSE}")
-#: What SPOKEN needs if no dot is told in words, and what DIGITS_SPELLED needs.
-SPOKEN_AT = re.compile(r"(?i)\sat\s+[a-z0-9-]+\.[a-z0-9-]")
-DIGIT_WORD = re.compile(rf"\b(?:{_WORD})\b")
-
-
-def suspicious(text: str) -> bool:
-    """Whether any transducer may change the text; a cheap test, true too often at worst."""
-    if not text.isascii():
-        try:
-            text.encode("latin-1")
-            if "\xa0" in text or "\xad" in text:
-                return True
-        except UnicodeEncodeError:
-            if HOMOGLYPH.search(text):
-                return True
-    low = text.lower()
-    if "dot" in low or BRACKETED.search(text) or ("@" in text and SPACED_AT.search(text)):
-        return True
-    return bool(SPOKEN_AT.search(text) or DIGIT_WORD.search(low))
+SPOKEN_IP = re.compile(r"(?i)(?<![\w.])[0-9]{1,3}(?:(?:\s+dot\s+|\.)[0-9]{1,3}){3}(?![\w.])")
+#: Where an address may have its sign, and what stands to the right of it.
+SIGN = re.compile(r"(?<=\s)[aA][tT](?=\s)|@")
+SPOKEN_DOMAIN = re.compile(r"(?i)\s*([a-z0-9-]+(?:(?:\s+dot\s+|\.)[a-z0-9-]+)+)(?!\w)")
+SPOKEN_DOT = re.compile(r"(?i)\s+dot\s+")
 
 
 class Tape:
     """A text on its way through the transducers; every character knows the source characters that it stands for."""
 
     def __init__(self, text: str) -> None:
-        self.text, self.begin, self.end = text, list(range(len(text))), list(range(1, len(text) + 1))
-        self.made = [False] * len(text)
+        self.text, self.begin, self.end, self.made = text, None, None, None
 
-    def rewrite(self, pattern: re.Pattern, make) -> None:
-        """Replace each match by make(match); what differs stands for the whole match."""
+    def rewrite(self, edits: Iterable[tuple[int, int, str]]) -> None:
+        """Replace text[a:z] by other text, for edits in order that do not overlap; the new text stands for all of the old."""
         out, begin, end, made, last = [], [], [], [], 0
-        for m in pattern.finditer(self.text):
-            new = make(m)
-            if new == m[0]:
+        for a, z, new in edits:
+            if new == self.text[a:z]:
                 continue
-            a, z = m.span()
+            if self.begin is None:
+                n = len(self.text)
+                self.begin, self.end, self.made = list(range(n)), list(range(1, n + 1)), [False] * n
             for part, values in ((out, self.text), (begin, self.begin), (end, self.end), (made, self.made)):
                 part.extend(values[last:a])
             out.extend(new)
@@ -131,24 +118,100 @@ class Tape:
             self.text, self.begin, self.end, self.made = "".join(out), begin, end, made
 
 
-def _numbers(m: re.Match) -> str:
-    said = re.findall(rf"(?i)plus|{_WORD}|[0-9]", m[0])
-    if not any(len(x) > 1 for x in said):
-        return m[0]
-    body = "".join("+" if x.lower() == "plus" else SPELLED.get(x.lower(), x) for x in said)
-    return body + m[0][len(m[0].rstrip(" \t\n,-")) :]
+def _homoglyphs(text: str) -> Iterator[tuple[int, int, str]]:
+    if not text.isascii() and not CHANGED.isdisjoint(text):
+        for m in HOMOGLYPH.finditer(text):
+            yield m.start(), m.end(), ALIKE.get(m[0], "")
+
+
+def _digits(text: str) -> Iterator[tuple[int, int, str]]:
+    for m in DIGITS_SPELLED.finditer(text) if DIGIT_WORD.search(text) else ():
+        said = re.findall(rf"(?i)plus|{_WORD}|[0-9]", m[0])
+        if any(len(x) > 1 for x in said):
+            body = "".join("+" if x.lower() == "plus" else SPELLED.get(x.lower(), x) for x in said)
+            yield m.start(), m.end(), body + m[0][len(m[0].rstrip(" \t\n,-")) :]
+
+
+def _bracketed(pattern: re.Pattern, sign: str, text: str) -> Iterator[tuple[int, int, str]]:
+    """The sign in brackets, with the white space around it."""
+    last = 0
+    for m in pattern.finditer(text):
+        a, z = m.span()
+        while a > last and text[a - 1].isspace():
+            a -= 1
+        while z < len(text) and text[z].isspace():
+            z += 1
+        yield a, z, sign
+        last = z
+
+
+def _spaced(text: str) -> Iterator[tuple[int, int, str]]:
+    for m in SPACED_AT.finditer(text) if "@" in text else ():
+        yield m.start(), m.end(), "@"
+
+
+def _addresses(text: str) -> Iterator[tuple[int, int, str]]:
+    """Addresses with a sign or dots told as words, looked up from their signs.
+
+    "at" alone is no disguise, as texts say "look at" of a host: there has to be a dot told as a word,
+    or a local part that is no plain word, with a digit or one of ._%+ among its letters.
+    """
+    last = 0
+    for sign in SIGN.finditer(text):
+        a, z = sign.span()
+        if a < last or not (right := SPOKEN_DOMAIN.match(text, z)) or (sign[0] == "@" and right.start(1) > z):
+            continue
+        while sign[0] != "@" and a > last and text[a - 1].isspace():
+            a -= 1
+        end = begin = a
+        while begin > last and text[begin - 1] in LOCAL:
+            begin -= 1
+        if begin == end:
+            continue
+        odd = text[end - 1].isalnum() and any(c.isalpha() for c in text[begin:end]) and any(c in "._%+0123456789" for c in text[begin + 1 : end])
+        told = bool(SPOKEN_DOT.search(right[1]))
+        while (k := _before_dot(text, begin, last)) is not None:
+            begin, told = k, True
+        while begin < end and not text[begin].isalnum():
+            begin += 1
+        if begin < end and not (begin > 0 and text[begin - 1].isalnum()) and (told or sign[0] != "@" and odd):
+            yield begin, right.end(1), SPOKEN_DOT.sub(".", text[begin:end]) + "@" + SPOKEN_DOT.sub(".", right[1])
+            last = right.end(1)
+
+
+def _before_dot(text: str, at: int, least: int) -> int | None:
+    """Where the part begins that stands before a dot, told as a word, before `at`."""
+    k = at
+    while k > least and text[k - 1].isspace():
+        k -= 1
+    if k == at or text[max(k - 3, least) : k].lower() != "dot":
+        return None
+    z = k - 3
+    k = z
+    while k > least and text[k - 1].isspace():
+        k -= 1
+    if k == z:
+        return None
+    begin = k
+    while begin > least and text[begin - 1] in LOCAL:
+        begin -= 1
+    return begin if begin < k else None
+
+
+def _numbers(text: str) -> Iterator[tuple[int, int, str]]:
+    for m in SPOKEN_IP.finditer(text) if re.search("(?i)dot", text) else ():
+        yield m.start(), m.end(), SPOKEN_DOT.sub(".", m[0])
+
+
+#: One after the other, each on what the one before has left. A transducer that is not run would change nothing.
+TRANSDUCERS = (_homoglyphs, _digits, partial(_bracketed, BRACKETED_AT, "@"), partial(_bracketed, BRACKETED_DOT, "."), _spaced, _addresses, _numbers)
 
 
 def normalised(text: str) -> Tape:
-    """Homoglyphs and hidden characters, spelled digits, then at and dot disguises: one transducer after the other."""
+    """Homoglyphs and hidden characters, spelled digits, then at and dot disguises."""
     tape = Tape(text)
-    tape.rewrite(HOMOGLYPH, lambda m: ALIKE.get(m[0], ""))
-    tape.rewrite(DIGITS_SPELLED, _numbers)
-    tape.rewrite(BRACKETED_AT, lambda m: "@")
-    tape.rewrite(BRACKETED_DOT, lambda m: ".")
-    tape.rewrite(SPACED_AT, lambda m: "@")
-    for spoken in (SPOKEN, SPOKEN_IP):
-        tape.rewrite(spoken, lambda m: re.sub(r"(?i)\s+dot\s+", ".", re.sub(r"(?i)\s+at\s+", "@", m[0])))
+    for edits in TRANSDUCERS:
+        tape.rewrite(edits(tape.text))
     return tape
 
 
@@ -156,16 +219,16 @@ _LOOSE_NUMBER = re.compile(r"(?<![0-9+])[0-9]{9,15}(?![0-9])")
 
 
 def disguised(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Identifiers that only show on the normalised text, as (start, kind, end) of the source; none overlaps a plain one of its kind."""
-    if not suspicious(text):
-        return []
+    """Identifiers that only show on the normalised text, as (start, kind, end) of the source; none overlaps another of its kind."""
     tape = normalised(text)
-    if tape.text == text:
+    if tape.begin is None:
         return []
     found = plain(tape.text)
     # a row of digits told in words is a phone number without its sign
     cards = {(a, z) for a, k, z in found if k == 2}
     found += [(m.start(), 3, m.end()) for m in _LOOSE_NUMBER.finditer(tape.text) if all(tape.made[m.start() : m.end()]) and tape.end[m.start()] - tape.begin[m.start()] > 1 and m.span() not in cards]
+    taken = [[(a, z) for a, k, z in base if k == kind] for kind in range(len(KINDS))]
+    last = [0] * len(KINDS)
     out = []
     for a, kind, z in sorted(found):
         begin, end = tape.begin[a], max(tape.end[a:z])
@@ -175,15 +238,14 @@ def disguised(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, in
             end -= 1
         while begin < end and text[begin].isspace():
             begin += 1
-        if end > begin and all(k != kind or e <= begin or s >= end for s, k, e in [*base, *out]):
+        # the last plain one that begins before this one's end is the only one that may reach into it
+        k = bisect_left(taken[kind], (end, 0))
+        if end > begin >= last[kind] and (not k or taken[kind][k - 1][1] <= begin):
             out.append((begin, kind, end))
+            last[kind] = end
     return out
 
 
-def _digest(spans: list[tuple[int, int, int]]) -> str:
-    return ",".join(f"{KINDS[k]}:{a}:{z}" for a, k, z in spans)
-
-
 def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All identifiers of every document: doc_id, spans array<struct<kind, start, end, disguised>>, in code points.
 
@@ -216,7 +278,7 @@ def masked(text: str) -> str:
 
 
 def mask(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """df with its texts masked; null stays null, other columns stay as they are."""
+    """df with its texts masked; null and empty texts stay, as do all rows and the other columns."""
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,10 +290,10 @@ def mask(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """n_email to n_phone count the plain identifiers, n_disguised those that the method adds."""
+    """n_email to n_phone count the plain identifiers, n_disguised those that the method adds, n_spans all."""
     spans = find(common.table(spark, sf_dir, "documents"))
     show = lambda xs: F.array_join(F.transform(xs, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = spans.withColumn("base", F.filter("spans", lambda s: ~s["disguised"]))
     of_kind = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     counts = [of_kind(k) for k in KINDS]
-    return base.select("doc_id", *counts, F.sha2(show(F.col("base")), 256).alias("base_sha256"), show(F.col("spans")).alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_disguised"))
+    return base.select("doc_id", *counts, F.sha2(show(F.col("base")), 256).alias("base_sha256"), show(F.col("spans")).alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_disguised"), F.size("spans").cast("long").alias("n_spans"))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -283,10 +284,85 @@ def test_pii_disguises(text, kind, found):
 
 
 def test_pii_leaves_prose_alone():
-    for t in ("Look at one or two of the three, then stop.", "The dot at the end of line one. Two more.", "éà ñ: four five"):
+    prose = ["Look at one or two of the three, then stop.", "The dot at the end of line one. Two more.", "éà ñ: four five", "There is one thing: look at example.com for more.", "write to john at example.com please", "meet at 5 at example.com, e.g. at example.org"]
+    for t in prose:
         assert pii.disguised(t, pii.plain(t)) == []
 
 
+def test_pii_of_a_passage_does_not_depend_on_the_rest():
+    for t in ("write to jane.doe at example.com now", "write to john at example.com now", "say john at example dot com now", "x [at] b (dot) com now", "10 dot 0 dot 0 dot 1 now", "call one two three four five six seven eight nine now"):
+        alone = [(k, t[a:z]) for a, k, z in pii.disguised(t, [])]
+        for rest in ("dot. ", "on day one. ", "ünï ", "x＠y ", "[at] (dot) a @ b "):
+            u = rest + t
+            assert [(k, u[a:z]) for a, k, z in pii.disguised(u, []) if a >= len(rest)] == alone, u
+
+
+def brute_addresses(words):
+    """Addresses told in words, over words with one space between them: (first word, last word)."""
+    part, name = re.compile(r"[a-z0-9._%+-]+"), re.compile(r"[a-z0-9-]+(\.[a-z0-9-]+)*")
+    out, done = [], 0
+    for i, w in enumerate(words):
+        if w != "at" or not 0 < i < len(words) - 1 or i < done or not name.fullmatch(words[i + 1]):
+            continue
+        z, told = i + 1, False
+        while z + 2 < len(words) and words[z + 1] == "dot" and name.fullmatch(words[z + 2]):
+            z, told = z + 2, True
+        if not told and "." not in words[z]:
+            continue
+        if i - 1 < done or not part.fullmatch(words[i - 1]):
+            continue
+        a = i - 1
+        own = words[a]
+        odd = own[-1].isalnum() and any(c.isalpha() for c in own) and any(c in "._%+0123456789" for c in own[1:])
+        while a - 2 >= done and words[a - 1] == "dot" and part.fullmatch(words[a - 2]):
+            a, told = a - 2, True
+        if told or odd:
+            out.append((a, z))
+            done = z + 1
+    return out
+
+
+def test_pii_addresses_against_brute_force():
+    rng = random.Random(21)
+    for _ in range(30000):
+        words = [rng.choice(["at", "at", "dot", "dot", "john", "jane.doe", "x1", "a9", "example.com", "host", "com", "é", "5"]) for _ in range(rng.randint(1, 12))]
+        text = " ".join(words)
+        begin = np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])])
+        want = [(int(begin[a]), int(begin[z]) + len(words[z])) for a, z in brute_addresses(words)]
+        got = [(a, z) for a, z, _ in pii._addresses(text)]
+        assert want == got, text
+
+
+def test_pii_transducers_against_plain_substitution():
+    """Every transducer on every text, by substitutions without any test before them."""
+    rng = random.Random(22)
+    pieces = ["one", "Two", "three", "nine", "oh", "plus", "1", "2", "[at]", "( dot )", "{@}", "a", "b", " ", "  ", "\n", ",", "-", "@", "а", "\u200b", "＠", "４", "é", "everyone", "<.>"]
+    for _ in range(4000):
+        text = "".join(rng.choice(pieces) + rng.choice(["", " "]) for _ in range(rng.randint(0, 14)))
+        want = "".join("" if c in pii.HIDDEN else pii.ALIKE.get(c, c) for c in text)
+        said = lambda m: re.findall(rf"(?i)plus|{pii._WORD}|[0-9]", m[0])
+        told = lambda m: "".join("+" if x.lower() == "plus" else pii.SPELLED.get(x.lower(), x) for x in said(m)) + re.search(r"[ \t\n,-]*\Z", m[0])[0]
+        want = pii.DIGITS_SPELLED.sub(lambda m: told(m) if any(len(x) > 1 for x in said(m)) else m[0], want)
+        want = re.sub(rf"\s*{pii.BRACKETED_AT.pattern[4:]}\s*", "@", want, flags=re.I)
+        want = re.sub(rf"\s*{pii.BRACKETED_DOT.pattern[4:]}\s*", ".", want, flags=re.I)
+        want = pii.SPACED_AT.sub("@", want)
+        tape = pii.Tape(text)
+        for edits in pii.TRANSDUCERS[:5]:
+            tape.rewrite(edits(tape.text))
+        assert tape.text == want, text
+        if tape.begin:
+            assert len(tape.begin) == len(tape.end) == len(tape.made) == len(want) and sorted(tape.begin) == tape.begin and sorted(tape.end) == tape.end
+            assert all(m or text[a] == c and z == a + 1 for c, a, z, m in zip(want, tape.begin, tape.end, tape.made, strict=True))
+
+
+@pytest.mark.parametrize("unit", [" ", "a dot ", "[ ", "1 ", "one ", "@a", "a at b ", "( at ", "\u200b", "a@b.c ", "1 dot "])
+def test_pii_of_a_megabyte(unit):
+    text = unit * (1_000_000 // len(unit))
+    began = time.perf_counter()
+    pii.masked(text)
+    assert time.perf_counter() - began < 20
+
+
 def test_pii_columns_and_nulls(spark, docs):
     assert rows_of(pii.find(docs))[35].spans == []
     masked = rows_of(pii.mask(docs))
