@@ -6,6 +6,7 @@ import html as references
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,11 +14,9 @@ from pyspark.sql import functions as F
 
 from canopy.llm import common
 
-#: Lines in a window, and characters that a window must have for the text to begin.
+#: Lines in a window, and characters that a window of a text must have.
 WINDOW = 3
 SURGE = 60
-#: A stretch of lines counts beside the longest if it has so large a share of its characters.
-BESIDE = 0.25
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
@@ -26,7 +25,6 @@ RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe",
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "br", "button", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "optgroup", "option", "p", "pre", "section", "select", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 ASIDE = {"nav", "header", "footer", "aside", "form", "head", "menu", "dialog", "button", "select", "svg", "canvas", "object", "audio", "video", "map", "datalist"}
-MAIN = {"article", "main"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar", "tablist"}
 NAMED = re.compile(
     r"(?i)(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|banner|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|header|footer|masthead|comment|comments|disqus|replies|respond|reviews|cookie|cookies|consent|gdpr|notice|notices|notification|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|social|share|sharing|related|recommended|recommendations|widget|widgets|toolbar|pagination|pager|search)(?:$|[\s_-])"
@@ -38,30 +36,28 @@ CLOSES_P = BLOCK - {"br", "option", "button"}
 class Line:
     text: str
     linked: int
-    main: bool
     aside: bool
 
 
 def lines_of(page: str) -> list[Line]:
     """The page's blocks in order, markup stripped and references decoded."""
     out: list[Line] = []
-    open_: list[tuple[str, bool, bool]] = []  # element, whether it sets text aside, whether it is a main part
+    open_: list[tuple[str, bool]] = []  # element, whether it sets text aside
     parts: list[str] = []
-    linked, asides, mains, links, at = 0, 0, 0, 0, 0
+    linked, asides, links, at = 0, 0, 0, 0
 
     def end_line() -> None:
         nonlocal linked
         if text := " ".join("".join(parts).split()):
-            out.append(Line(text, linked, mains > 0, asides > 0))
+            out.append(Line(text, linked, asides > 0))
         parts.clear()
         linked = 0
 
     def close(depth: int) -> None:
-        nonlocal asides, mains, links
+        nonlocal asides, links
         while len(open_) > depth:
-            name, aside, main = open_.pop()
+            name, aside = open_.pop()
             asides -= aside
-            mains -= main
             links -= name == "a"
 
     def add(raw: str) -> None:
@@ -111,10 +107,8 @@ def lines_of(page: str) -> list[Line]:
                     aside |= value.lower() in ROLES
                 elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"(?i)display\s*:\s*none", value):
                     aside = True
-        main = name in MAIN and not aside
-        open_.append((name, aside, main))
+        open_.append((name, aside))
         asides += aside
-        mains += main
         links += name == "a"
     if at < len(page):
         add(page[at:])
@@ -122,54 +116,50 @@ def lines_of(page: str) -> list[Line]:
     return out
 
 
-def stretches_of(lines: list[Line], window: int, surge: int) -> list[list[Line]]:
-    """Lines with text of their own between surge and dive points; without a surge, all of them.
+def stretches(weights: list[int], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
+    """Runs (begin, end) of lines between surge and dive points, from the sums of text lengths over sliding windows.
 
-    Lines in menus, forms and the like are left out beforehand, so none parts a text from its tail;
-    lines of links outside of an article weigh nothing.
+    A stretch has a window that reaches `surge`. It goes back from there to where the windows before
+    held nothing, and ends where the windows dive to nothing; its first and last lines have text.
     """
-    lines = [x for x in lines if not x.aside]
-    weight = [0 if not x.main and 2 * x.linked > len(x.text) else len(x.text) for x in lines]
-    sums = [sum(weight[i : i + window]) for i in range(len(lines))]
-    out: list[list[Line]] = []
-    i = 0
-    while i < len(lines):
-        if not weight[i] or sums[i] < surge:
-            i += 1
+    out: list[tuple[int, int]] = []
+    total = list(accumulate(weights, initial=0))
+    begin, last, peak = None, 0, 0
+    for i, w in enumerate(weights):
+        if not w:
             continue
-        begin = i
-        while i < len(lines) and sums[i]:
-            i += 1
-        out.append([x for x, w in zip(lines[begin:i], weight[begin:i], strict=True) if w])
-    rest = [x for x, w in zip(lines, weight, strict=True) if w]
-    return out or ([rest] if rest else [])
+        if begin is not None and i - last > window:
+            if peak >= surge:
+                out.append((begin, last + 1))
+            begin, peak = None, 0
+        begin, last = i if begin is None else begin, i
+        peak = max(peak, total[i + 1] - total[max(begin, i + 1 - window)])
+    if begin is not None and peak >= surge:
+        out.append((begin, last + 1))
+    return out
 
 
-def main_text(page: str, window: int = WINDOW, surge: int = SURGE, beside: float = BESIDE) -> str:
+def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
     """The text between surge and dive points of the distribution of line lengths.
 
-    A stretch begins where a window of lines reaches `surge` and ends where all of a window is
-    empty. The longest stretch counts, and others that come near it. The article element is a check
-    that follows: if its lines hold as many characters as the other lines of any stretch, they are
-    the text and no others; if they hold fewer, they may be cards, and the text is the stretches' and theirs.
+    Elements only strip: lines in menus, forms and the like are left out beforehand, so none parts a
+    text from its tail, and lines of links weigh nothing. A page whose windows never reach `surge`
+    has a short text, which is all its lines that are no links.
     """
-    lines = lines_of(page)
-    stretches = stretches_of(lines, window, surge)
-    size = lambda xs: sum(len(x.text) for x in xs)
-    article = [x for x in lines if x.main and not x.aside]
-    longest = max(size(x for x in xs if not x.main) for xs in stretches) if stretches else 0
-    if article and size(article) >= longest:
-        return " ".join(x.text for x in article)
-    most = max(map(size, stretches), default=0)
-    kept = {id(x) for xs in stretches if size(xs) >= beside * most for x in xs}
-    return " ".join(x.text for x in lines if id(x) in kept or x.main and not x.aside)
+    lines = [x for x in lines_of(page) if not x.aside]
+    weights = [0 if 2 * x.linked > len(x.text) else len(x.text) for x in lines]
+    found = stretches(weights, window, surge)
+    if found:
+        return " ".join(x.text for begin, end in found for x in lines[begin:end])
+    return " ".join(x.text for x, w in zip(lines, weights, strict=True) if w)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Main text of every page: page_id, url, text, n_chars; a row for each row of pages.
 
-    Null and empty pages, and pages without main text, give an empty text. Null ids and urls are
-    kept, other columns are not looked at.
+    Null and empty pages, and pages without main text, give an empty text; pages of any length are
+    read whole. Null ids and urls are kept, repeated rows are read each, other columns are not looked
+    at, an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

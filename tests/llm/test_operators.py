@@ -379,7 +379,7 @@ def test_pii_columns_and_nulls(spark, docs):
         ("<article><script>var a='</p>'</script><style>p{}</style><!-- <p>no</p> --><p>x &lt; y</p><form><p>Your mail</p></form></article>", "x < y"),
         ("<article><p>a<div class='ad'>buy</div><p>b</article><aside>c</aside>", "a b"),
         (f"<div><h1>Title</h1><p>{BODY}</p><p>{BODY}</p></div><article><h2>More</h2><p>A teaser</p></article><article><p>Another teaser</p></article>", f"Title {BODY} {BODY} More A teaser Another teaser"),
-        (f"<div>Buy</div><article><h1>Title</h1><p>{BODY}</p><p>End</p></article>", f"Title {BODY} End"),
+        ("<div><p>Short.</p></div><ul><li><a href=x>Link</a></li></ul>", "Short."),
     ],
 )
 def test_html(page, text):
@@ -392,6 +392,41 @@ def test_html_tail_and_short_text():
     assert html.main_text("<nav><p>Home</p></nav><div><p>Short text.</p></div>") == "Short text."
 
 
+def test_html_windows_against_brute_force():
+    rng = random.Random(13)
+    for _ in range(3000):
+        weights = [rng.choice([0, 0, 0, 3, 20, 50]) for _ in range(rng.randint(0, 30))]
+        window, surge = rng.randint(1, 4), rng.choice([1, 40, 60, 100])
+        sums = [sum(weights[i : i + window]) for i in range(len(weights))]
+        text = [i for i, w in enumerate(weights) if w]
+        # lines belong together unless a whole window between them is empty
+        parted = lambda a, b: any(not sums[j] for j in range(a + 1, b - window + 1))
+        groups = []
+        for i in text:
+            if groups and not parted(groups[-1][-1], i):
+                groups[-1].append(i)
+            else:
+                groups.append([i])
+        want = [(g[0], g[-1] + 1) for g in groups if max(sum(weights[j] for j in range(k, k + window) if j <= g[-1]) for k in range(g[0], g[-1] + 1)) >= surge]
+        assert html.stretches(weights, window, surge) == want, (weights, window, surge)
+
+
+def test_html_choice_owes_nothing_to_the_article_element(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    for page in pages:
+        article = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+        assert html.main_text(re.sub(r"<(/?)article>", r"<\1div>", page)) == html.main_text(page) == html.main_text(f"<div>{article}</div>")
+
+
+def test_html_of_awkward_pages(spark):
+    long = "<p>" + BODY * 20000 + "</p>"
+    rows = [(1, "u", long), (1, "u", long), (2, None, " "), (3, "u", "<" * 100_000), (4, "u", "<p>" * 100_000 + BODY), (5, "u", "&amp;" * 100_000), (6, "u", "<div class='" + "a " * 100_000 + "'>" + BODY)]
+    df = spark.createDataFrame([(*r, 1, "mine") for r in rows], "page_id long, url string, html string, n_chars int, text string")
+    got = sorted(((r.page_id, r.n_chars, r.text) for r in html.extract(df).collect()))
+    assert [g[:2] for g in got] == [(1, len(BODY) * 20000)] * 2 + [(2, 0), (3, 100_000), (4, len(BODY)), (5, 100_000), (6, len(BODY))]
+    assert html.extract(df.limit(0)).count() == 0
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>été</p></article>", "t"), (None, None, None, "t")], "page_id long, url string, html string, text string")
     assert sorted(map(tuple, html.extract(df).collect()), key=str) == [(1, "u", "été", 3), (None, None, "", 0)]
