@@ -10,7 +10,7 @@ from canopy.llm import common
 #: A line is boilerplate of its host from so many different documents on ...
 LEAST_DOCS = 20
 #: ... if they are so large a share of the host's different documents.
-SHARE = 0.15
+SHARE = 0.05
 #: A document is depleted if more than so much of its words stands in boilerplate lines.
 DEPLETED = 0.75
 
@@ -70,7 +70,8 @@ def measures(df: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFr
 def boilerplate(base: DataFrame, least_docs: int, share: float) -> DataFrame:
     """(host, common array<long>): hashes of lines that too many different documents of a host have.
 
-    Documents with equal texts count once. A host has at most (lines of a document on average) /
+    Documents with equal texts count once, or every line of a document with many copies would be
+    boilerplate and all the copies would go. A host has at most (lines of a document on average) /
     share such lines, so the arrays do not grow with the host.
     """
     docs = base.select("host", "text_hash").distinct().groupBy("host").agg(F.count("*").alias("docs"))

@@ -521,6 +521,13 @@ def test_empty_vectors(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_rules_find_boilerplate_in_the_given_tables(spark):
+    """Lines that a twelfth of a host's documents share, as those tables have them; no document goes for it alone."""
+    got = rules.judge(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).select("n_common_words", "base_failed", "kept").collect()
+    assert sum(r.n_common_words > 0 for r in got) > 500
+    assert all(r.kept != r.base_failed for r in got)
+
+
 def test_rules_clashing_names_and_hot_hosts(spark):
     rng = random.Random(12)
     text = [sentence(rng, 60) for _ in range(61)]
