@@ -110,16 +110,21 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     raise TypeError(col.type)
 
 
+#: A table of at most so many rows of a few numbers each is broadcast.
+FEW = 500_000
 #: A key is hot if it has more than this part of all rows; so there are fewer hot keys than its inverse.
 HOT_SHARE = 1 / 512
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+def lookup(rows: DataFrame, table: DataFrame, key: str, few: int = FEW) -> DataFrame:
     """rows with the columns of `table`, which has each key once, or nulls: a left join on `key` that no hot key slows down.
 
-    Hot keys, less than 1 / HOT_SHARE of them, are looked up in a broadcast of their rows of the
-    table; the others meet by a shuffle. `rows` is read three times, so it should be written already.
+    A table of at most `few` rows, counted first, is broadcast. Of a larger one only the rows of hot keys are,
+    less than 1 / HOT_SHARE of them; the others meet by a shuffle. Both are read more than once, so
+    they should be written already, or be cheap.
     """
+    if table.limit(few + 1).count() <= few:
+        return rows.join(F.broadcast(table), key, "left")
     counts = rows.groupBy(key).count()
     total = rows.count()
     hot = [r[0] for r in counts.where((F.col("count") > total * HOT_SHARE) & F.col(key).isNotNull()).select(key).collect()]
@@ -139,21 +144,20 @@ def components(spark: SparkSession, edges: DataFrame, most_rounds: int = 60) ->
     """
     edges = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
+    held = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
     for _ in range(most_rounds):
+        labels = held.select("id", "root")
         near = both.join(labels.select(F.col("id").alias("a"), "root"), "a").groupBy(F.col("b").alias("id")).agg(F.min("root").alias("near"))
-        hooks = (
-            labels.join(near, "id")
-            .where("near < root")
-            .groupBy(F.col("root").alias("id"))
-            .agg(F.min("near").alias("hook"))
-        )
-        step = labels.join(near, "id", "left").select("id", F.least("root", F.coalesce("near", "root")).alias("root"), F.col("root").alias("was"))
-        step = step.join(hooks.select(F.col("id").alias("was"), "hook"), "was", "left").select("id", F.least("root", F.coalesce("hook", "root")).alias("root"), "was")
-        jump = labels.select(F.col("id").alias("root"), F.col("root").alias("up"))
-        new = cut(step.join(jump, "root", "left").select("id", F.least("root", F.coalesce("up", "root")).alias("root"), "was"))
+        step = cut(labels.join(near, "id", "left").select("id", "root", F.least("root", F.coalesce("near", "root")).alias("low")))
+        # for each root the smallest root around its members, or its own: a hub's members all look there
+        goal = step.groupBy("root").agg(F.min("low").alias("goal")).unionByName(labels.select(F.col("id").alias("root"), F.col("root").alias("goal")))
+        goal = cut(goal.groupBy("root").agg(F.min("goal").alias("goal")))
+        new = cut(lookup(step, goal, "root").select("id", F.least("low", F.coalesce("goal", "low")).alias("root"), F.col("root").alias("was")))
         changed = new.where("root <> was").limit(1).count()
-        labels = new.select("id", "root")
+        for done in (held, step, goal):
+            drop(done)
+        held = new
         if not changed:
-            return labels
+            drop(both)
+            return held.select("id", "root")
     raise RuntimeError("components did not settle")

@@ -99,7 +99,8 @@ def judge(
     # written once: lines are counted, and then looked up, from the same measures
     base = common.cut(measures(df, id_col, text_col, host_col))
     found = boilerplate(base, least_docs, share)
-    out = common.lookup(base, found, "host").withColumn("boiler", F.when(F.col("common").isNotNull(), F.filter("lines", lambda x: F.array_contains(F.col("common"), x["h"]))))
+    # a host's lines are 1 / share times those of a document at most: some kilobytes
+    out = common.lookup(base, found, "host", few=1000).withColumn("boiler", F.when(F.col("common").isNotNull(), F.filter("lines", lambda x: F.array_contains(F.col("common"), x["h"]))))
     out = out.withColumn("n_common_words", F.coalesce(F.aggregate("boiler", F.lit(0), lambda s, x: s + x["w"]), F.lit(0)).cast("long"))
     out = out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     verdict = ~F.col("base_failed") & (F.col("n_common_words") <= depleted * F.col("n_words"))
