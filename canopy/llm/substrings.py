@@ -251,12 +251,16 @@ def removed_ranges(docs: DataFrame, length: int, k: int, id_col: str, text_col:
 
     @common.tidy
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Segments to be sorted, by anchor; and starts of hot anchors, by passage."""
+        """Segments to be sorted, by anchor; and starts of hot anchors, by passage.
+
+        Of a passage that a batch has more than once only the first start goes to its bucket. The
+        others are known to be repeated and go by document, as runs with anchor -1 and no bytes.
+        """
         for b in common.pieces(batches, "text", PIECE):
             seg, number, begins, off = _own_segments(b, length, k)
             ids, versions, raw = b.column(0).to_numpy(), b.column(1).to_numpy(), seg.data.tobytes()
             out: list[list] = [[] for _ in range(7)]
-            seen = set()
+            seen, hot = set(), []
             for i, blobs in enumerate(b.column(3).to_pylist()):
                 if not blobs or (ids[i], versions[i]) in seen:
                     continue
@@ -265,15 +269,28 @@ def removed_ranges(docs: DataFrame, length: int, k: int, id_col: str, text_col:
                 for j, f in zip(at + begins[i], flag, strict=True):
                     lo, hi = int(seg.lo[j]), int(seg.hi[j])
                     if f == TEXT:
-                        rows = [(int(seg.key[j].astype(np.int64)), lo - int(off[i]), hi - lo + 1, int(seg.at[j]) - lo, raw[lo : hi + length])]
+                        row = (int(seg.key[j].astype(np.int64)), int(ids[i]), int(versions[i]), lo - int(off[i]), hi - lo + 1, int(seg.at[j]) - lo, raw[lo : hi + length])
+                        for col, v in zip(out, row, strict=True):
+                            col.append(v)
                     elif f == SPREAD:
                         h = seg.hashes(np.arange(lo, hi + 1), np.arange(lo, hi + 1) + length, np.zeros(hi - lo + 1)).astype(np.int64)
-                        rows = [(int(x), s - int(off[i]), 1, int(seg.at[j]) - s, raw[s : s + length]) for x, s in zip(h, range(lo, hi + 1), strict=True)]
-                    else:
-                        continue
-                    for r in rows:
-                        for col, v in zip(out, (r[0], int(ids[i]), int(versions[i]), *r[1:]), strict=True):
-                            col.append(v)
+                        hot += [(int(ids[i]), int(versions[i]), s - int(off[i]), int(x), int(seg.at[j]) - s, raw[s : s + length]) for x, s in zip(h, range(lo, hi + 1), strict=True)]
+            first, known = set(), []
+            for doc, version, start, x, anchor, passage in sorted(hot):
+                if passage not in first:
+                    first.add(passage)
+                    row = (x, doc, version, start, 1, anchor, passage)
+                elif known and known[-1][:2] == [doc, version] and known[-1][2] + known[-1][3] == start:
+                    known[-1][3] += 1
+                    continue
+                else:
+                    known.append([doc, version, start, 1])
+                    continue
+                for col, v in zip(out, row, strict=True):
+                    col.append(v)
+            for doc, version, start, n in known:
+                for col, v in zip(out, (doc ^ version, doc, version, start, n, -1, b""), strict=True):
+                    col.append(v)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["bucket", "doc_id", "version", "lo", "n", "anchor", "bytes"])
 
@@ -284,8 +301,11 @@ def removed_ranges(docs: DataFrame, length: int, k: int, id_col: str, text_col:
         def block(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             t = pa.Table.from_batches(parts)
             bucket, doc, version, lo, n, anchor = (t.column(i).to_numpy() for i in range(6))
-            hit = repeated(bucket, t.column(6).to_pylist(), anchor.astype(np.int64), n.astype(np.int64), length)
             row = np.repeat(np.arange(len(n)), n)
+            hit = (anchor < 0)[row]
+            sorted_ = np.flatnonzero(anchor >= 0)
+            if len(sorted_):
+                hit[~hit] = repeated(bucket[sorted_], t.column(6).take(pa.array(sorted_)).to_pylist(), anchor[sorted_].astype(np.int64), n[sorted_].astype(np.int64), length)
             rel = np.arange(len(row)) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
             at = lo[row] + rel
             hits = np.flatnonzero(hit)
