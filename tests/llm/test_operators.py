@@ -478,6 +478,82 @@ def test_quality_learns(spark):
     assert all(0 <= got[k].score <= 1 for k in (1000, 1001))
 
 
+def brute_fit(x, y, rounds, depth, bins, rate=0.15, smooth=2.0, least=2.0):
+    """Boosted trees with every split tried on plain lists: (prior, trees as nested tuples or leaf values)."""
+    prior = np.log((y.sum() + 1) / (len(y) + 2) / (1 - (y.sum() + 1) / (len(y) + 2)))
+    edges = [sorted(set(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1]).tolist())) for j in range(x.shape[1])]
+    total, trees = [prior] * len(y), []
+    for _ in range(rounds):
+        q = [1 / (1 + np.exp(-t)) for t in total]
+        g, h = [b - a for a, b in zip(q, y, strict=True)], [a * (1 - a) for a in q]
+
+        def grow(rows, level):
+            gs, hs = sum(g[i] for i in rows), sum(h[i] for i in rows)
+            if level == depth:
+                return rate * gs / (hs + smooth)
+            best, split = 1e-9, None
+            for j in range(x.shape[1]):
+                for e in edges[j]:
+                    left = [i for i in rows if x[i, j] <= e]
+                    gl, hl = sum(g[i] for i in left), sum(h[i] for i in left)
+                    if hl < least or hs - hl < least:
+                        continue
+                    gain = gl**2 / (hl + smooth) + (gs - gl) ** 2 / (hs - hl + smooth) - gs**2 / (hs + smooth)
+                    if gain > best + 1e-9:
+                        best, split = gain, (j, e)
+            if split is None:
+                return rate * gs / (hs + smooth)
+            j, e = split
+            return (j, e, grow([i for i in rows if x[i, j] <= e], level + 1), grow([i for i in rows if x[i, j] > e], level + 1))
+
+        tree = grow(range(len(y)), 0)
+        trees.append(tree)
+        total = [t + brute_walk(tree, row) for t, row in zip(total, x, strict=True)]
+    return prior, trees
+
+
+def brute_walk(tree, row):
+    while isinstance(tree, tuple):
+        tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
+    return tree
+
+
+def test_quality_trees_against_brute_force():
+    rng = np.random.default_rng(14)
+    x = np.round(rng.standard_normal((150, 4)), 1)
+    y = ((x[:, 0] > 0.2) ^ (x[:, 2] < -0.4)).astype(float)
+    prior, trees = brute_fit(x, y, 4, 3, 8)
+    want = [1 / (1 + np.exp(-(prior + sum(brute_walk(t, row) for t in trees)))) for row in x]
+    assert quality.fit(x, y, rounds=4, depth=3, bins=8).score(x) == pytest.approx(want, abs=1e-9)
+
+
+def test_quality_query_walks_as_the_trees_say(spark):
+    """The query's scores against a walk of each tree, node by node, on statistics counted anew; and how well it tells held-out labels."""
+    data = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    model = quality.train(docs, labels)
+    got = rows_of(quality.query(spark, data))
+    for r in docs.limit(150).collect():
+        x, total = quality.statistics(r.text or ""), model.start
+        for feature, threshold, leaf in zip(model.feature, model.threshold, model.leaf, strict=True):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (1 if x[feature[node]] <= threshold[node] else 2)
+            total += leaf[node - len(feature)]
+        assert got[r.doc_id].score == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-9)
+    truth = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None}
+    held = [k for k, r in got.items() if r.held_out and k in truth]
+    assert held and np.mean([got[k].predicted == truth[k] for k in held]) > 0.9
+
+
+def test_quality_of_awkward_rows(spark):
+    docs = spark.createDataFrame([(1, "word " * 200_000, 0.5, "q"), (1, "word", 0.5, "q"), (1, "word", 0.5, "q"), (None, None, 0.5, "q"), (2, "", None, None)], "doc_id long, text string, score double, x string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, None)], "doc_id long, quality int")
+    got = quality.score(docs, quality.train(docs, labels)).collect()
+    assert len(got) == 5 and all(0 <= r.score <= 1 for r in got) and not next(r for r in got if r.doc_id is None).held_out
+    assert quality.score(docs.limit(0), quality.train(docs.limit(0), labels)).count() == 0
+
+
 def test_quality_without_labels(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     assert quality.score(docs, quality.train(docs, spark.createDataFrame([], "doc_id long, quality int"))).first().score == pytest.approx(0.5)
