@@ -339,10 +339,10 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: st
     texts = common.cut(texts.dropDuplicates(["row"]).select("doc_id", "text", "want", "n", "classes"))
     edges = _prefix_edges(texts, words, percent, shares, common.buckets(total, 48 << 20))
     clusters = common.components(spark, edges)
-    sized = texts.select(F.col("want").alias("id"), "n").dropDuplicates(["id"]).join(clusters, "id").select("id", F.col("root").alias("cluster"), "n")
+    sized = common.cut(texts.select(F.col("want").alias("id"), "n").dropDuplicates(["id"]).join(clusters, "id").select("id", F.col("root").alias("cluster"), "n"))
     weight = sized.groupBy("cluster").agg((F.sum("n") * 8).alias("bytes")).where(F.col("bytes") > BLOCK_BYTES)
     # few clusters are so large: no more than the sets' bytes / BLOCK_BYTES
-    placed = sized.join(weight, "cluster", "left").select(F.col("id").alias("want"), "cluster", F.coalesce(F.ceil(F.col("bytes") / (BLOCK_BYTES / 2)), F.lit(1)).cast("int").alias("blocks"))
+    placed = common.lookup(sized, weight, "cluster").select(F.col("id").alias("want"), "cluster", F.coalesce(F.ceil(F.col("bytes") / (BLOCK_BYTES / 2)), F.lit(1)).cast("int").alias("blocks"))
     texts = texts.join(placed, "want").select("doc_id", "text", "want", "cluster", "blocks")
 
     @common.tidy
