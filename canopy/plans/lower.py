@@ -24,11 +24,19 @@ NOTHING = Value("nothing")
 
 @dataclass(frozen=True)
 class State:
-    """Live rows: their DataFrame, what each variable is, and the node that the cursor stands on."""
+    """Live rows: their DataFrame, what each variable is, and the node that the cursor stands on.
+
+    After a probe, wide has the rows without what probes have taken away. The next probe starts from
+    there: it asks about more values than are live, but n probes make a plan of some n^2 scans, not 2^n.
+    """
 
     rows: DataFrame
     env: dict
     cursor: str
+    wide: DataFrame | None = None
+
+    def probed(self, rows: DataFrame) -> State:
+        return replace(self, rows=rows, wide=self.rows if self.wide is None else self.wide)
 
     def bound(self, var: int, value: Value) -> State:
         return replace(self, env={**self.env, var: value})
@@ -139,7 +147,7 @@ class Planner:
         there = found.rows.select(*[F.col(k).alias(f"k__{k}") for k in ("doc_id", *keys)], F.col("__ord").alias("__more"), *[F.col(f"{found.cursor}__{c}").alias(f"{name}__{c}") for c in NODE])
         rows = state.rows.join(there, navigation.same_keys(state.rows, there, keys), "left").drop(*[f"k__{k}" for k in ("doc_id", *keys)])
         rows = rows.withColumn("__ord", F.concat("__ord", F.coalesce("__more", F.array(F.lit(-1))))).drop("__more")
-        return replace(state, rows=rows).bound(var, Value("node", name))
+        return replace(state, rows=rows, wide=None).bound(var, Value("node", name))
 
     # -- navigation --
 
@@ -156,7 +164,7 @@ class Planner:
                     return replace(state, rows=state.rows.where(F.lit(False)))
                 if value.form != "node":
                     raise UnexpectedTypeError(f"@{e.name} is a {value.form}, no node")
-                return State(state.rows.where(F.col(f"{value.name}__node_id").isNotNull()), state.env, value.name)
+                return replace(state, rows=state.rows.where(F.col(f"{value.name}__node_id").isNotNull()), cursor=value.name)
             case s.NodeSelector():
                 return replace(state, rows=state.rows.where(F.col(f"{state.cursor}__kind") == e.kind))
             case s.FieldAccess():
@@ -181,7 +189,9 @@ class Planner:
 
     def stepped(self, state: State, axis: str, **test) -> State:
         name = self.fresh()
-        return State(navigation.step(state.rows, self.nodes, state.cursor, name, axis, **test), state.env, name)
+        step = lambda rows: navigation.step(rows, self.nodes, state.cursor, name, axis, **test)
+        wide = step(state.wide) if state.wide is not None and f"{state.cursor}__node_id" in state.wide.columns else None
+        return State(step(state.rows), state.env, name, wide)
 
     # -- probes --
 
@@ -220,7 +230,8 @@ class Planner:
         others = [v.name for v in read.values() if v.form != "node"]
         keys = sorted(f"{n}__node_id" for n in nodes) + sorted(others)
         carried = [f"{n}__{c}" for n in sorted(nodes) for c in NODE] + sorted(others)
-        rows = state.rows.select("doc_id", *carried).dropDuplicates(["doc_id", *keys]).withColumn("__ord", F.array().cast("array<int>"))
+        rows = state.rows if state.wide is None or not {*carried} <= {*state.wide.columns} else state.wide
+        rows = rows.select("doc_id", *carried).dropDuplicates(["doc_id", *keys]).withColumn("__ord", F.array().cast("array<int>"))
         env = {v: state.env[v] for v in state.env if v in read or state.env[v].form in ("nothing", "string", "uint")}
         return State(rows, env, state.cursor if _reads_cursor(x) else next(iter(sorted(nodes)), state.cursor)), keys
 
@@ -230,7 +241,7 @@ class Planner:
         found, value = self.body(body, seed)
         name = self.fresh("l")
         rows = navigation.collect(state.rows, found.rows, keys, materialised(value), name)
-        return replace(state, rows=rows), Value("list", name, (value,))
+        return state.probed(rows), Value("list", name, (value,))
 
     # -- predicates --
 
@@ -404,7 +415,7 @@ class Planner:
                 after, test = self.test(p, seed)
                 passed = after.rows.where(test)
                 yes, no = navigation.probe(state.rows, passed, keys, True), navigation.probe(state.rows, passed, keys, False)
-            return replace(state, rows=yes), replace(state, rows=no) if both else None
+            return state.probed(yes), state.probed(no) if both else None
         state, test = self.test(p, state)
         if not self.compat:
             test = F.coalesce(test, F.lit(False))
@@ -419,8 +430,8 @@ class Planner:
         yes = navigation.probe(state.rows, reached, keys, p.negated)
         if self.compat:
             dead = state.rows.where(F.lit(False))
-            return replace(state, rows=yes), replace(state, rows=dead) if both else None
-        return replace(state, rows=yes), replace(state, rows=navigation.probe(state.rows, reached, keys, not p.negated)) if both else None
+            return state.probed(yes), replace(state, rows=dead) if both else None
+        return state.probed(yes), state.probed(navigation.probe(state.rows, reached, keys, not p.negated)) if both else None
 
     def force_bases(self, e, state: State) -> State:
         match e:
@@ -455,9 +466,9 @@ class Planner:
         exists = (q.quantifier == "any") != negated
         true = navigation.probe(state.rows, counter.rows, keys, exists)
         if not both:
-            return replace(state, rows=true), None
+            return state.probed(true), None
         false = state.rows.where(F.lit(False)) if self.compat else navigation.probe(state.rows, counter.rows, keys, not exists)
-        return replace(state, rows=true), replace(state, rows=false)
+        return state.probed(true), state.probed(false)
 
     # -- values --
 

@@ -225,3 +225,20 @@ def test_file_scan_stream_and_command_line(spark, tmp_path, capsys):
     assert main(["-l", "python", "select @root >> FunctionDef.name", str(tmp_path / "code")]) == 0
     assert len(json.loads(capsys.readouterr().out)["results"]) == 2
     assert main(["-l", "none", "x", "y"]) == 5
+
+
+def test_plans_of_probes_do_not_double(spark):
+    """Scans of nodes in the plan of several probes; powers of two would give 62 for four."""
+    from canopy.engine import TreeEngine
+    from canopy.sources import trees
+
+    nodes = trees.order_tree(spark, "/root/testdata/sf0.001")
+
+    def scans(text):
+        return TreeEngine(spark).compile(text).run_text(nodes)._jdf.queryExecution().optimizedPlan().toString().count("Relation [o_orderkey")
+
+    term = "any @{0} in @root > lineitem: @{0}.flag = 'R'"
+    many = [scans("with @root.status as @s where " + " and ".join(term.format(v) for v in "abcd"[:n]) + " select @s") for n in (4,)]
+    lists = [scans("with @root.status as @s select {s: @s, " + ", ".join(f"{v}: (select @root > lineitem.qty)" for v in "abcd"[:n]) + "}") for n in (4,)]
+    for found in (many, lists):
+        assert found[-1] <= 32, found
