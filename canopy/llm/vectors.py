@@ -50,6 +50,12 @@ def as_matrix(raw: list[bytes]) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
+def neighbours(bounds: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each block between sorted bounds the first and the last block that come within `reach` of it."""
+    edges = np.concatenate([[-math.inf], bounds, [math.inf]])
+    last = np.searchsorted(edges[:-1], edges[1:] + reach, side="right") - 1
+    # read off the same comparisons, so that both blocks of a pair name each other
+    return np.searchsorted(last, np.arange(len(last)), side="left"), last
 
 
 def count_links(x: np.ndarray, y: np.ndarray, cosine: float, m: int, wide: float, least: int, rows: int = 256) -> Iterator[tuple[int, np.ndarray]]:
@@ -83,6 +89,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, projections: int
     many rows have costs no more; rows that repeat an id count as vectors of their own. A null id is
     kept. Other columns are not looked at. Blocks of the sorted first projection are compared where
     they come within a window of each other; a block pair gives a row for each of its vectors at most.
+    The driver holds the bounds between blocks, one number for `block` vectors; each task finds the
+    neighbours of its blocks from them.
     """
     spark = vectors.sparkSession
     far = math.sqrt(2 - 2 * cosine)
@@ -107,19 +115,18 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, projections: int
     kinds = common.cut(own.where("raw is not null").groupBy("key").agg(F.count("*").alias("n"), F.first("raw").alias("raw"), F.first("place").alias("place")))
     total = kinds.count()
     k = max(1, math.ceil(total / block))
-    bounds = np.array(kinds.agg(F.percentile_approx("place", [i / k for i in range(1, k)], 100 * k)).first()[0] if k > 1 else [])
-    bounds = np.unique(bounds)
-    edges = np.concatenate([[-math.inf], bounds, [math.inf]])
-    near = [[j for j in range(len(edges) - 1) if (j >= i and edges[j] - edges[i + 1] <= reach) or (j < i and edges[i] - edges[j + 1] <= reach)] for i in range(len(edges) - 1)]
-    shared = spark.sparkContext.broadcast((bounds, near))
+    bounds = np.unique(kinds.agg(F.percentile_approx("place", [i / k for i in range(1, k)], 100 * k)).first()[0]) if k > 1 else np.zeros(0)
+    shared = spark.sparkContext.broadcast(bounds)
 
     @common.tidy
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bounds, near = shared.value
+        bounds = shared.value
+        first, last = neighbours(bounds, reach)
         for b in batches:
             mine = np.searchsorted(bounds, b.column(3).to_numpy(), side="left")
-            row = np.repeat(np.arange(b.num_rows), [len(near[i]) for i in mine])
-            other = np.fromiter((j for i in mine for j in near[i]), np.int64, len(row))
+            many = last[mine] - first[mine] + 1
+            row = np.repeat(np.arange(b.num_rows), many)
+            other = np.arange(len(row)) - np.repeat(np.cumsum(many) - many - first[mine], many)
             own_block = mine[row]
             taken = b.take(pa.array(row))
             lo, hi = np.minimum(own_block, other), np.maximum(own_block, other)
