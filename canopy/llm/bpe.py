@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,20 @@ from pyspark.sql import functions as F
 from canopy.llm import common, tokens
 
 
+def characters(table: tokens.Bytes, ids: np.ndarray, off: np.ndarray, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each token the characters of its text that its bytes belong to, (start, end), and whether it begins within one.
+
+    `data` and `at` are the decoded bytes of all texts and where each text's begin and end.
+    """
+    if not len(ids):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    ends = np.cumsum(table.size[ids])
+    begins = ends - table.size[ids]
+    within = data[begins] & 0xC0 == 0x80
+    before = np.repeat(tokens.char_spans(data, at[:-1]), np.diff(off))
+    return tokens.char_spans(data, begins) - within - before, tokens.char_spans(data, ends) - before, within
+
+
 def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = True) -> DataFrame:
     """Encode every text by the ranks in `path`, each match of `pattern` on its own, without special tokens.
 
@@ -33,13 +48,8 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
                 cols = [b.column(0), lists]
                 if offsets:
                     data, at = table.decode(ids, off)
-                    ends = np.cumsum(table.size[ids]) if len(ids) else np.zeros(0, np.int64)
-                    begins = ends - table.size[ids]
-                    base = np.repeat(tokens.char_spans(data, at[:-1]), np.diff(off))
-                    last = tokens.char_spans(data, ends) if len(ids) else ends
-                    first = np.where(np.append(data, 0)[begins] & 0xC0 == 0x80, 1, 0) if len(ids) else begins
-                    start = (tokens.char_spans(data, begins) if len(ids) else begins) - first
-                    cols += [pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array((x - base).astype(np.int32))) for x in (start, last)]
+                    start, last, _ = characters(table, ids, off, data, at)
+                    cols += [pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(x.astype(np.int32))) for x in (start, last)]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "ids", "char_start", "char_end"][: len(cols)])
 
     schema = "doc_id long, ids array<int>" + ", char_start array<int>, char_end array<int>" * offsets
@@ -48,7 +58,10 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
 
 
 def decode(df: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Turn (doc_id, ids) back into (doc_id, bytes binary): the byte table reversed, characters whose bytes lie in several tokens put together again."""
+    """Turn (doc_id, ids) back into (doc_id, bytes binary): the byte table reversed, characters whose bytes lie in several tokens put together again.
+
+    Null or empty ids give no bytes; a null id of a row is kept, and repeated rows are decoded each for itself.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = tokens.Bytes(tokens.encoder(path, pattern).tok)
@@ -65,7 +78,9 @@ def decode(df: DataFrame, path: str, pattern: str) -> DataFrame:
 def digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and decode every text; one row a document with counts and SHA-256 digests.
 
-    Null texts count as empty; each row of the input gives one row.
+    n_split counts the tokens that begin within a character; offsets_crc32 is the CRC-32 of all
+    (char_start, char_end) as little-endian 32-bit numbers, as `encode` gives them. Null texts count
+    as empty; each row of the input gives one row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,6 +91,9 @@ def digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text
                 data, at = table.decode(ids, off)
                 raw, text = memoryview(ids.astype("<u4").view(np.uint8)), memoryview(data)
                 spans, chars = off.tolist(), at.tolist()
+                start, last, within = characters(table, ids, off, data, at)
+                places = memoryview(np.stack([start, last], 1).astype("<u4").reshape(-1).view(np.uint8))
+                split = np.concatenate([[0], np.cumsum(within)])
                 n = b.num_rows
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -83,11 +101,13 @@ def digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text
                         pa.array(np.diff(off), pa.int64()),
                         pa.array([hashlib.sha256(raw[4 * spans[i] : 4 * spans[i + 1]]).hexdigest() for i in range(n)]),
                         pa.array([hashlib.sha256(text[chars[i] : chars[i + 1]]).hexdigest() for i in range(n)]),
+                        pa.array(np.diff(split[off]), pa.int64()),
+                        pa.array([zlib.crc32(places[8 * spans[i] : 8 * spans[i + 1]]) for i in range(n)], pa.int64()),
                     ],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_split", "offsets_crc32"],
                 )
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_split long, offsets_crc32 long"
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
