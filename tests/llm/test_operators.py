@@ -184,6 +184,27 @@ def test_token_offsets(spark):
     assert set().union(*(range(a, z) for a, z in zip(r.char_start, r.char_end, strict=True))) == set(range(len(text)))
 
 
+def test_digests_tell_offsets_of_split_characters(spark):
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    given = {1: "né 漢字 🙂 plain 𓀀𓀁", 2: "", 3: None, 4: "\U0001F9EC" * 40, 5: "plain words only"}
+    df = spark.createDataFrame(list(given.items()), "doc_id long, text string")
+    got = rows_of(bpe.digests(df, path, pattern))
+    tt = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=tokens.read_ranks(path), special_tokens={})
+    for k, text in given.items():
+        # the character of each byte, one after the other
+        of_byte = [i for i, c in enumerate(text or "") for _ in c.encode()]
+        first = [i == 0 or of_byte[i] != of_byte[i - 1] for i in range(len(of_byte))]
+        at, split, places = 0, 0, []
+        for i in tt.encode_ordinary(text or ""):
+            size = len(tt.decode_single_token_bytes(i))
+            split += not first[at]
+            places += [of_byte[at], of_byte[at + size - 1] + 1]
+            at += size
+        assert got[k].n_split == split
+        assert got[k].offsets_crc32 == zlib.crc32(np.array(places, "<u4").tobytes())
+    assert got[4].n_split > 0 and got[5].n_split == 0
+
+
 def test_packing_places_every_token_once(docs, texts):
     path = public_tokenizers.path("byte_bpe_50k.json")
     pieces = packing.pack(docs, path, capacity=256).collect()
@@ -577,6 +598,53 @@ def test_vectors_against_brute_force(spark):
     assert got[1004].n_links == 1 and got[1005].component_id == 1004
 
 
+def test_neighbouring_blocks_name_each_other():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 40):
+        for reach in (0.0, 0.3, 1.1, 50.0):
+            bounds = np.unique(np.round(rng.standard_normal(n), 1))
+            edges = [-np.inf, *bounds, np.inf]
+            k = len(edges) - 1
+            first, last = vectors.neighbours(bounds, reach)
+            got = {(i, j) for i in range(k) for j in range(first[i], last[i] + 1)}
+            assert got == {(j, i) for i, j in got}
+            # a step of rounding at the very bound decides nothing
+            assert {(i, j) for i in range(k) for j in range(i, k) if edges[j] - edges[i + 1] <= reach - 1e-9} <= got
+            assert all(edges[max(i, j)] - edges[min(i, j) + 1] <= reach + 1e-9 for i, j in got)
+
+
+def test_vectors_ties_repeated_rows_and_null_ids(spark):
+    one, two = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(None, one), (3, one), (3, one), (5, [2.0, 0.0, 0.0]), (7, two), (8, [float("inf"), 0.0, 0.0])]
+    df = spark.createDataFrame([(i, v, b"x", 0.5, 1, "k") for i, v in rows], "vec_id long, embedding array<double>, raw binary, place double, n int, key string")
+    got = sorted(vectors.near_duplicates(df).collect(), key=lambda r: (r.vec_id is None, r.vec_id))
+    assert [(r.vec_id, r.n_links, r.component_id, r.kept) for r in got] == [(3, 3, 3, True), (3, 3, 3, True), (5, 3, 3, False), (7, 0, 7, True), (8, 0, 8, True), (None, 3, 3, False)]
+
+
+@pytest.mark.parametrize("name", ["quality", "bpe", "rules", "pii", "licenses", "jaccard", "substrings"])
+def test_null_ids_repeated_rows_and_clashing_columns(spark, name):
+    """A row of the input gives a row, whatever its id; rows that are the same come out the same."""
+    text = "The apache license covers this text, write to jane@example.com about it.\nOne more line of words.\n" * 3
+    rows = [(None, text), (1, text), (1, text), (2, None), (2, ""), (None, None), (9, "short")]
+    more = "words string, joined string, ids string, key string, hash string, root string, n int, share double, `my col` string, found string, text_hash string"
+    df = spark.createDataFrame([(i, t, "host", "w", "j", "i", "k", "h", "r", 1, 0.5, "m", "f", "t") for i, t in rows], f"doc_id long, text string, source string, {more}")
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    made = {
+        "quality": lambda: quality.score(df, quality.train(df, labels)),
+        "bpe": lambda: bpe.digests(df, ranks, public_tokenizers.PATTERN),
+        "rules": lambda: rules.judge(df),
+        "pii": lambda: pii.find(df),
+        "licenses": lambda: licenses.scan(df),
+        "jaccard": lambda: jaccard.join(df),
+        "substrings": lambda: substrings.dedup(df),
+    }
+    got = made[name]().collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted((i is None, i or 0) for i, _ in rows)
+    if name not in ("jaccard", "substrings"):
+        assert len({repr(r) for r in got if r.doc_id == 1}) == 1
+
+
 @pytest.mark.parametrize("name", ["substrings", "jaccard", "packing", "bpe", "rules", "pii", "licenses"])
 def test_empty_tables(spark, name):
     none = spark.createDataFrame([], "doc_id long, text string, source string")
