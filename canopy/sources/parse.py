@@ -178,13 +178,13 @@ def page_nodes(text: str) -> list[tuple]:
 
 
 PARSERS: dict[str, Callable[[str], list[tuple]]] = {"python": python_nodes, "html": page_nodes}
-_NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
+NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
 def parsed(texts: DataFrame, language: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Nodes of every text; parsing runs where the texts are. Null texts parse as empty ones."""
     if language not in PARSERS:
-        raise UnsupportedQueryError(f"no parser for {language} on this machine; load its trees as a table of nodes")
+        raise UnsupportedQueryError(f"no parser for {language} here; put a printed tree beside each file, or load a table of nodes")
     parse = PARSERS[language]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -192,7 +192,7 @@ def parsed(texts: DataFrame, language: str, id_col: str = "doc_id", text_col: st
             for at in range(0, len(pdf), 200):
                 part = pdf.iloc[at : at + 200]
                 rows = [(i, *n) for i, t in zip(part.iloc[:, 0], part.iloc[:, 1], strict=True) for n in parse(t or "")]
-                out = pd.DataFrame(rows, columns=_NAMES)
+                out = pd.DataFrame(rows, columns=NAMES)
                 out["parent_id"] = out["parent_id"].astype("Int32")
                 yield out
 

@@ -227,6 +227,53 @@ def test_file_scan_stream_and_command_line(spark, tmp_path, capsys):
     assert main(["-l", "none", "x", "y"]) == 5
 
 
+C_TEXT = "int add(int a) {\n  return a;\n}\n/* ä */ int b;\n"
+C_TREE = """(translation_unit [0, 0] - [4, 0]
+  (function_definition [0, 0] - [2, 1]
+    type: (primitive_type [0, 0] - [0, 3])
+    declarator: (function_declarator [0, 4] - [0, 14]
+      declarator: (identifier [0, 4] - [0, 7])
+      parameters: (parameter_list [0, 7] - [0, 14]))
+    body: (compound_statement [0, 15] - [2, 1]
+      (return_statement [1, 2] - [1, 11]
+        (identifier [1, 9] - [1, 10]))))
+  (comment [3, 0] - [3, 8])
+  (declaration [3, 9] - [3, 15]
+    type: (primitive_type [3, 9] - [3, 12])
+    declarator: (identifier [3, 13] - [3, 14])))
+"""
+
+
+def test_printed_trees(spark):
+    from canopy.sources.exported import exported, tree_nodes
+
+    found = {(n[3], n[6]) for n in tree_nodes(C_TEXT, C_TREE)}
+    assert {("identifier", "add"), ("identifier", "a"), ("comment", "/* ä */"), ("identifier", "b"), ("translation_unit", C_TEXT)} <= found
+    rows = spark.createDataFrame([(1, C_TEXT, C_TREE), (2, C_TEXT, None), (3, None, "")], "doc_id long, text string, tree string")
+    names = TreeEngine(spark).compile("select @root > function_definition.declarator.declarator").run_json(exported(rows)).collect()
+    assert [(r.doc_id, json.loads(r.value)) for r in names] == [(1, {"kind": "identifier", "text": "add", "start_byte": 4, "end_byte": 7, "start_point": {"row": 0, "column": 4}, "end_point": {"row": 0, "column": 7}})]
+    for broken in ("(a [0, 0] - [0, 1]", "(a [0, 0] - [0, 1]))", "(a [9, 0] - [9, 1])", "(a)"):
+        with pytest.raises(ValueError):
+            tree_nodes("x", broken)
+
+
+def test_command_line_with_printed_trees(spark, tmp_path, capsys):
+    from canopy.__main__ import main
+
+    (tmp_path / "f.c").write_text(C_TEXT)
+    query = "select @root > function_definition.declarator.declarator"
+    assert main(["-l", "c", query, str(tmp_path)]) == 4
+    assert "1 files have no .tree" in capsys.readouterr().err
+    (tmp_path / "f.c.tree").write_text(C_TREE)
+    for path in (tmp_path, tmp_path / "f.c"):
+        assert main(["-l", "c", query, str(path)]) == 0
+        out = json.loads(capsys.readouterr().out)
+        assert [[v["text"] for v in r["values"]] for r in out["results"]] == [["add"]]
+        assert out["stats"]["read_time_ns"] > 0
+    assert main(["-s", "denotational", "#language 'c'\n" + query, str(tmp_path)]) == 0
+    assert main([query, str(tmp_path)]) == 4
+
+
 def test_plans_of_probes_do_not_double(spark):
     """Scans of nodes in the plan of several probes; powers of two would give 62 for four."""
     from canopy.engine import TreeEngine
