@@ -139,15 +139,23 @@ def components(spark: SparkSession, edges: DataFrame, most_rounds: int = 60) ->
     """Connected components of edges(a long, b long): rows (id, root), root the smallest id.
 
     Null ends are dropped, loops and repeated edges do no harm. Each round takes the smallest
-    root around an id and then the root of that root; counts of changed rows are all that reaches
-    the driver. Each round's labels are checkpointed.
+    root around an id and then the root of that root; counts of changed rows and the ids of hubs, less
+    than 1 / HOT_SHARE, are all that reaches the driver. Each round's labels are checkpointed. Edges of
+    hubs do not move: the hubs' few labels are broadcast to them.
     """
     edges = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     held = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
+    total = both.count()
+    hubs = [r[0] for r in both.groupBy("a").count().where(F.col("count") > max(total * HOT_SHARE, FEW * HOT_SHARE)).select("a").collect()]
+    plain, of_hubs = (both.where(~F.col("a").isin(hubs)), both.where(F.col("a").isin(hubs))) if hubs else (both, None)
     for _ in range(most_rounds):
         labels = held.select("id", "root")
-        near = both.join(labels.select(F.col("id").alias("a"), "root"), "a").groupBy(F.col("b").alias("id")).agg(F.min("root").alias("near"))
+        ends = labels.select(F.col("id").alias("a"), "root")
+        met = plain.join(ends, "a").select("b", "root")
+        if hubs:
+            met = met.unionByName(of_hubs.join(F.broadcast(ends.where(F.col("a").isin(hubs))), "a").select("b", "root"))
+        near = met.groupBy(F.col("b").alias("id")).agg(F.min("root").alias("near"))
         step = cut(labels.join(near, "id", "left").select("id", "root", F.least("root", F.coalesce("near", "root")).alias("low")))
         # for each root the smallest root around its members, or its own: a hub's members all look there
         goal = step.groupBy("root").agg(F.min("low").alias("goal")).unionByName(labels.select(F.col("id").alias("root"), F.col("root").alias("goal")))

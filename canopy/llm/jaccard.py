@@ -17,7 +17,7 @@ PERCENT = 75
 #: Bits of a set's bitmap, eight for each token of the median set within these limits; sets below a node of the lowest level.
 BITS, MOST_BITS = 2048, 1 << 16
 LEAF = 64
-#: Bytes of shingle sets that one task compares at most; larger clusters are compared block by block.
+#: Bytes of shingle sets that one task compares at most; larger clusters are compared in blocks of half of it.
 BLOCK_BYTES = 24 << 20
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _SPACE = np.zeros(256, bool)
@@ -130,14 +130,18 @@ class SignatureTree:
         fits = (100 * hi[others] >= percent * lo[i]) & (100 * hi[i] >= percent * lo[others])
         return others[fits & ((100 + percent) * overlap >= percent * (lo[i] + lo[others]))]
 
-    def links(self, percent: int) -> np.ndarray:
+    def links(self, percent: int, known: np.ndarray) -> np.ndarray:
         """The root of each set: one member of its component of links, by dual traversal.
 
-        Pairs of nodes wait on the stack, a node with itself first; sets are compared where both are
+        Sets with an equal number in `known` are one component from the start. Pairs of nodes wait on the stack, a node with itself first; sets are compared where both are
         below nodes of the lowest level. What one component holds already is not compared again.
         """
         n = len(self.sets)
-        root, members = np.arange(n), {x: [x] for x in range(n)}
+        _, first, label = np.unique(known[self.order], return_index=True, return_inverse=True)
+        root = first[label]
+        members: dict[int, list[int]] = {}
+        for x, r in enumerate(root.tolist()):
+            members.setdefault(r, []).append(x)
 
         def join(a: int, b: int) -> None:
             a, b = int(root[a]), int(root[b])
@@ -307,6 +311,62 @@ def _prefix_edges(texts: DataFrame, words: int, percent: int, frequency_shares:
     return texts.select("doc_id", "text", "want", "classes").mapInArrow(emit, "share long, blob binary").groupBy("share").applyInArrow(meet, "a long, b long")
 
 
+def _compared(texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between sets that meet in a task: rows of texts, by cluster and each of their `tasks`.
+
+    Sets of one `known` component are linked already.
+    """
+
+    names = ["cluster", "task", "id", "known", "tokens"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+    @common.tidy
+    def located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.pieces(batches, "text", 2 << 20):
+            own_sets = _sets_of(b, words)
+            hashes = np.array([set_hash(s) for s in own_sets], np.int64)
+            rows, size = [], 0
+            for i in np.flatnonzero(hashes == b.column(2).to_numpy()).tolist():
+                cluster, known, blob = b.column(3)[i].as_py(), b.column(4)[i].as_py(), own_sets[i].tobytes()
+                for task in b.column(5)[i].as_py():
+                    rows.append((cluster, task, int(hashes[i]), known, blob))
+                    size += len(blob)
+                    if size > 8 << 20:
+                        yield batch(rows)
+                        rows, size = [], 0
+            if rows:
+                yield batch(rows)
+
+    @common.tidy
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Tasks come whole and in order; each is compared when its last row has come."""
+        held: dict[int, tuple[int, np.ndarray]] = {}
+        at = None
+
+        def done() -> pa.RecordBatch:
+            ids, known = list(held), np.array([k for k, _ in held.values()], np.int64)
+            roots = SignatureTree([s for _, s in held.values()]).links(percent, known) if (known != known[0]).any() else np.arange(len(ids))
+            pairs = [(ids[r], ids[k]) for k, r in enumerate(roots) if r != k]
+            return pa.RecordBatch.from_arrays([pa.array([p[x] for p in pairs], pa.int64()) for x in (0, 1)], names=["a", "b"])
+
+        for b in batches:
+            keys = list(zip(*(b.column(c).to_pylist() for c in range(2)), strict=True))
+            for k, (key, i, known) in enumerate(zip(keys, b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                if key != at:
+                    if len(held) > 1:
+                        yield done()
+                    held, at = {}, key
+                held[i] = known, np.frombuffer(b.column(4)[k].as_buffer(), np.uint64).copy()
+        if len(held) > 1:
+            yield done()
+
+    dealt = texts.select("doc_id", "text", "want", "cluster", "known", "tasks").mapInArrow(located, "cluster long, task long, id long, known long, tokens binary")
+    return dealt.repartition("cluster", "task").sortWithinPartitions("cluster", "task", "id").mapInArrow(compare, "a long, b long")
+
+
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of `percent` or more.
 
@@ -320,8 +380,10 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: st
     Equal sets count once. A set of which fewer shingles than `percent` of them stand in other sets
     links with none. Of the others, those that share a prefix shingle form clusters (connected
     components of the sharing), so a set goes to one task only; there, signature trees find the
-    links. A cluster too large for a task is compared block by block, each pair of blocks in a task
-    of its own.
+    links. A cluster too large for a task is dealt into blocks, and compared twice: first each block
+    with the next one, which makes most of a group of near copies one component; then the sets
+    outside the cluster's largest component with those and with each other, a task for each pair of
+    blocks. Within the largest component nothing is compared again, so its size adds no pairs of its own.
     """
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -340,53 +402,28 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: st
     edges = _prefix_edges(texts, words, percent, shares, common.buckets(total, 48 << 20))
     clusters = common.components(spark, edges)
     sized = common.cut(texts.select(F.col("want").alias("id"), "n").dropDuplicates(["id"]).join(clusters, "id").select("id", F.col("root").alias("cluster"), "n"))
-    weight = sized.groupBy("cluster").agg((F.sum("n") * 8).alias("bytes")).where(F.col("bytes") > BLOCK_BYTES)
     # few clusters are so large: no more than the sets' bytes / BLOCK_BYTES
-    placed = common.lookup(sized, weight, "cluster").select(F.col("id").alias("want"), "cluster", F.coalesce(F.ceil(F.col("bytes") / (BLOCK_BYTES / 2)), F.lit(1)).cast("int").alias("blocks"))
-    texts = texts.join(placed, "want").select("doc_id", "text", "want", "cluster", "blocks")
-
-    @common.tidy
-    def located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.pieces(batches, "text", 2 << 20):
-            own_sets = _sets_of(b, words)
-            hashes = np.array([set_hash(s) for s in own_sets], np.int64)
-            keep = np.flatnonzero(hashes == b.column(2).to_numpy())
-            rows = []
-            for i in keep:
-                cluster, k = b.column(3)[int(i)].as_py(), b.column(4)[int(i)].as_py()
-                mine = int(hashes[i]) % k
-                for other in range(k):
-                    rows.append((cluster, min(mine, other), max(mine, other), int(hashes[i]), own_sets[i].tobytes()))
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["cluster", "i", "j", "id", "tokens"])
-
-    @common.tidy
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Clusters come whole and in order; each is compared when its last row has come."""
-        held: dict[int, np.ndarray] = {}
-        at = None
-
-        def done() -> pa.RecordBatch:
-            ids = list(held)
-            roots = SignatureTree([held[i] for i in ids]).links(percent) if len(ids) > 1 else [0] * len(ids)
-            pairs = [(ids[r], ids[k]) for k, r in enumerate(roots) if r != k]
-            return pa.RecordBatch.from_arrays([pa.array([p[x] for p in pairs], pa.int64()) for x in (0, 1)], names=["a", "b"])
-
-        for b in batches:
-            keys = list(zip(*(b.column(c).to_pylist() for c in range(3)), strict=True))
-            ids = b.column(3).to_pylist()
-            for k, (key, i) in enumerate(zip(keys, ids, strict=True)):
-                if key != at:
-                    if len(held) > 1:
-                        yield done()
-                    held, at = {}, key
-                held[i] = np.frombuffer(b.column(4)[k].as_buffer(), np.uint64).copy()
-        if len(held) > 1:
-            yield done()
-
-    dealt = texts.mapInArrow(located, "cluster long, i int, j int, id long, tokens binary").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "id")
-    links = dealt.mapInArrow(compare, "a long, b long")
-    groups = common.components(spark, links)
+    large = common.cut(sized.groupBy("cluster").agg((F.sum("n") * 8).alias("bytes")).where(F.col("bytes") > BLOCK_BYTES))
+    blocks = lambda size: F.ceil(size / (BLOCK_BYTES / 2))
+    block = F.pmod("id", blocks(F.col("bytes")))
+    ring = F.when(F.col("bytes").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.array(block, F.pmod(block - 1, blocks(F.col("bytes")))))
+    tasks = common.lookup(sized, large, "cluster").select(F.col("id").alias("want"), "cluster", F.col("id").alias("known"), ring.alias("tasks"))
+    groups = common.components(spark, _compared(texts.join(tasks, "want"), words, percent))
+    if not large.isEmpty():
+        found = common.lookup(sized.join(F.broadcast(large.select("cluster")), "cluster", "left_semi"), groups, "id").withColumn("root", F.coalesce("root", "id"))
+        found = common.cut(found)
+        mass = found.groupBy("cluster", "root").agg((F.sum("n") * 8).alias("bytes"))
+        most = F.max(F.struct("bytes", "root"))
+        sides = mass.groupBy("cluster").agg(most.alias("most"), blocks(F.sum("bytes") - most["bytes"]).alias("rest")).where("rest > 0")
+        sides = common.cut(sides.select("cluster", F.col("most.root").alias("main"), "rest", (F.col("rest") + blocks(F.col("most.bytes"))).alias("all")))
+        placed = common.lookup(found, sides, "cluster").where("rest > 0")
+        main = F.col("root") == F.col("main")
+        own_block = F.when(main, F.col("rest") + F.pmod("id", F.col("all") - F.col("rest"))).otherwise(F.pmod("id", "rest"))
+        others = F.sequence(F.lit(0).cast("long"), F.when(main, F.col("rest")).otherwise(F.col("all")) - 1)
+        pairs = F.transform(others, lambda o: F.least(o, own_block) * F.col("all") + F.greatest(o, own_block))
+        tasks = placed.select(F.col("id").alias("want"), "cluster", F.col("root").alias("known"), pairs.alias("tasks"))
+        more = _compared(texts.join(tasks, "want"), words, percent)
+        groups = common.components(spark, groups.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more))
     # sets that link with others are named after their group; then documents after their sets
     grouped = common.cut(kinds.join(groups.select(F.col("id").alias("set_hash"), "root"), "set_hash").select("set_hash", "root", "best"))
     least = grouped.groupBy("root").agg(F.min("best").alias("best"))

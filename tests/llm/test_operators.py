@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from canopy.llm import bpe, html, jaccard, licenses, packing, pii, quality, rules, substrings, tokens, vectors
+from canopy.llm import bpe, common, html, jaccard, licenses, packing, pii, quality, rules, substrings, tokens, vectors
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, share long, version string, key string, words string, n long"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -151,11 +151,44 @@ def test_signature_tree_prunes_nothing_that_links():
         keep = s[rng.random(len(s)) > rng.uniform(0, 0.25)]
         sets.append(np.union1d(keep, rng.integers(0, 1 << 62, rng.integers(0, 30)).astype(np.uint64)))
     want = brute_components(dict(enumerate(sets)), lambda a, b: 100 * len(np.intersect1d(a, b)) >= 75 * len(np.union1d(a, b)))
-    roots = jaccard.SignatureTree(sets).links(75)
+    roots = jaccard.SignatureTree(sets).links(75, np.arange(120))
     same = {(i, j) for i in range(120) for j in range(i) if want[i] == want[j]}
     assert {(i, j) for i in range(120) for j in range(i) if roots[i] == roots[j]} == same
 
 
+def test_signature_tree_keeps_known_components():
+    sets = [np.arange(k * 100, k * 100 + 50, dtype=np.uint64) for k in (0, 1, 0, 2)]
+    roots = jaccard.SignatureTree(sets).links(75, np.array([7, 8, 9, 8]))
+    assert roots[0] == roots[2] != roots[1] == roots[3]
+
+
+@pytest.mark.parametrize("size", [2000, 20000])
+def test_large_cluster_of_near_copies_beside_others(spark, monkeypatch, size):
+    """Two groups of near copies that share a passage, texts that bridge some of them, and texts that only share."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    shared = [word() for _ in range(30)]
+    one, two = shared + [word() for _ in range(70)], shared + [word() for _ in range(70)]
+    texts = {}
+    for k in range(150):
+        base = list(one if k % 3 else two)
+        base[40 + rng.randrange(55)] = word()
+        texts[1000 - k] = " ".join(base)
+    for k in range(30):
+        base = list(one)
+        for at in rng.sample(range(100), 3):
+            base[at] = word()
+        texts[k] = " ".join(base[: 100 - k])
+    for k in range(40):
+        texts[200 + k] = " ".join(shared + [word() for _ in range(5 + k)])
+    want = brute_components({k: shingles(v) for k, v in texts.items()}, lambda a, b: 100 * len(a & b) >= 75 * len(a | b))
+    assert len(set(want.values())) > 3
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", size)
+    monkeypatch.setattr(common, "FEW", 10)
+    assert {k: r.component_id for k, r in rows_of(jaccard.join(df)).items()} == want
+
+
 def test_tokens_equal_tiktoken_and_round_trip(spark, docs, texts):
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     tt = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=tokens.read_ranks(path), special_tokens={})
