@@ -654,6 +654,24 @@ def test_vectors_ties_repeated_rows_and_null_ids(spark):
     assert [(r.vec_id, r.n_links, r.component_id, r.kept) for r in got] == [(3, 3, 3, True), (3, 3, 3, True), (5, 3, 3, False), (7, 0, 7, True), (8, 0, 8, True), (None, 3, 3, False)]
 
 
+def test_vectors_are_not_copied_for_each_block_and_ties_are_split(spark):
+    """Some 55 of 95 blocks stand beside each block; what is shuffled must not grow with them. 300 multiples of a vector have one place."""
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((3000, 32))
+    x[::3] = x[1::3] + 0.03 * rng.standard_normal((1000, 32))
+    x[-300:] = x[0] * np.arange(1, 301)[:, None]
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    linked = unit @ unit.T >= 0.95
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    shuffled = lambda: spark._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = shuffled()
+    got = rows_of(vectors.near_duplicates(df, block=32), "vec_id")
+    assert shuffled() - before < 5 * x.nbytes
+    assert len(got) == 3000 and all(got[k].n_links <= linked[k].sum() - 1 for k in got)
+    assert sum(r.n_links for r in got.values()) >= 0.99 * (linked.sum() - 3000)
+    assert all(got[k].n_links >= 299 and got[k].component_id == 0 for k in range(2700, 3000))
+
+
 @pytest.mark.parametrize("name", ["quality", "bpe", "rules", "pii", "licenses", "jaccard", "substrings"])
 def test_null_ids_repeated_rows_and_clashing_columns(spark, name):
     """A row of the input gives a row, whatever its id; rows that are the same come out the same."""
